@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import near_groups
+from tarnwork.llm import hash_forest, near_groups
 from tarnwork.runtime import load
 
 
+def p1_found(spark, sf):
+    return hash_forest.repeats(load(spark, sf, "docs"))
+
+
 def p5_found(spark, sf):
     return near_groups.near_groups(load(spark, sf, "docs"))
 
 
 def queries():
-    return {"p5_found": p5_found}
+    return {"p1_found": p1_found, "p5_found": p5_found}
 
 
 def oracle_sql():
