@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import hash_forest, near_groups
+from tarnwork.llm import hash_forest, knn_tree, near_groups
 from tarnwork.runtime import load
 
 
@@ -10,12 +10,17 @@ def p1_found(spark, sf):
     return hash_forest.repeats(load(spark, sf, "docs"))
 
 
+def p3_found(spark, sf):
+    pairs = knn_tree.nearest(load(spark, sf, "embedding_row"))
+    return pairs.select(pairs.a.alias("pk_a"), pairs.b.alias("pk_b"))
+
+
 def p5_found(spark, sf):
     return near_groups.near_groups(load(spark, sf, "docs"))
 
 
 def queries():
-    return {"p1_found": p1_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
 
 
 def oracle_sql():
