@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.runtime import Workspace, spread, width
 
-SAMPLE_ROWS, PROBES, COPIES, FAN, SLACK = 65_536, 192, 8, 32, 0.007
+SAMPLE_ROWS, PROBES, COPIES, FAN, SLACK = 65_536, 192, 8, 32, 5e-5
 
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,18 +36,23 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _small(df: DataFrame, n: int, most: int = 200_000) -> DataFrame:
+    """A counted list of single numbers: sent to every task up to ``most`` rows, shuffled beyond."""
+    return F.broadcast(df) if n <= most else df
+
+
 def packed(x: np.ndarray) -> np.ndarray:
-    """One signed byte for each component and the row's scale behind them: the form in which vectors travel to leaves.
+    """Two bytes for each component and the row's scale behind them: the form in which vectors travel to leaves.
 
-    Similarities of packed rows are off by about 0.001; everything within SLACK of a decision is scored again in full.
+    Similarities of packed rows are off by a few millionths; whatever lies within SLACK of a decision is scored again in full.
     """
-    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-12).astype(np.float32) / 127
-    return np.hstack([np.round(x / scale).astype(np.int8), scale.view(np.int8).reshape(len(x), 4)])
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-12).astype(np.float32) / 32767
+    return np.hstack([np.round(x / scale).astype(np.int16).view(np.int8), scale.view(np.int8).reshape(len(x), 4)])
 
 
 def unpacked(blob: bytes, dim: int) -> np.ndarray:
-    both = np.frombuffer(blob, dtype=np.int8).reshape(-1, dim + 4)
-    return both[:, :dim].astype(np.float32) * both[:, dim:].copy().view(np.float32)
+    both = np.frombuffer(blob, dtype=np.int8).reshape(-1, 2 * dim + 4)
+    return both[:, : 2 * dim].copy().view(np.int16).astype(np.float32) * both[:, 2 * dim :].copy().view(np.float32)
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -167,8 +172,12 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     order = Window.partitionBy("mark").orderBy("id")
     first = ws.save(rows.select("id", "mark").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= COPIES), "first")
     crowded = first.where(F.col("n") == COPIES).select("mark")
-    main = rows.join(crowded.join(first, "mark").select("mark", "id", F.lit(True).alias("kept")), ["mark", "id"], "left").join(crowded.withColumn("full", F.lit(True)), "mark", "left")
-    main = main.where("full is null or kept").select("id", "v")
+    full = crowded.count()
+    main = rows.select("id", "v")
+    if full:
+        over = rows.select("id", "mark").distinct().join(_small(crowded, full), "mark").join(first.select("mark", "id"), ["mark", "id"], "left_anti").select("id")
+        over = ws.save(over, "over")
+        main = main.join(_small(over, over.count()), "id", "left_anti")
 
     total = rows.count()
     matrix = lambda got: np.frombuffer(b"".join(r[0] for r in got), dtype=np.float32).reshape(-1, dim)
@@ -202,7 +211,7 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         x = unpacked(b"".join(table.column("v").to_pylist()), dim)[order]
-        a, b = [], []
+        a, b, s = [], [], []
         for i in range(0, len(x), 1024):
             sims = x[i : i + 1024] @ x.T
             r, c = np.nonzero(sims >= floor - SLACK)
@@ -215,35 +224,49 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
             near = (np.arange(len(r)) - start < k) | (sims[r, c] >= last - SLACK)
             a.append(ids[i + r[near]])
             b.append(ids[c[near]])
+            s.append(sims[r[near], c[near]].astype(np.float64))
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": np.concatenate(s) if s else np.zeros(0)})
 
-    found = main.mapInArrow(route, "leaf int, id bigint, v binary").repartition(width(spark), "leaf").groupBy("leaf").applyInArrow(search, "a bigint, b bigint")
-    found = ws.save(found.distinct(), "found")
+    routed = main.mapInArrow(route, "leaf int, id bigint, v binary").repartition(width(spark), "leaf")
+    found = routed.groupBy("leaf").applyInArrow(search, "a bigint, b bigint, similarity double")
+    found = ws.save(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "found")
 
     def exact(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.float32).reshape(-1, dim).astype(np.float64) for i in (2, 3))
             sim = (x * y).sum(axis=1) / np.maximum(1e-12, np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], ["a", "b", "similarity"])
-
-    used = found.select("a").union(found.select("b")).distinct()
-    needed = ws.save(rows.join(used.withColumnRenamed("a", "id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "v"), "needed")
-    vec = lambda n: needed.select(F.col("id").alias(n), F.col("v").alias(f"v{n}"))
-    scored = found.join(vec("a"), "a").join(vec("b"), "b").select("a", "b", "va", "vb").mapInArrow(exact, "a bigint, b bigint, similarity double")
-    scored = ws.save(scored.where(F.col("similarity") >= floor), "scored")
-
-    both = scored.union(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    top = both.withColumn("n", rank).where(F.col("n") <= k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], ["a", "b", "exact"])
+
+    approx = found
+    turned = lambda df: df.union(df.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    by = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    ranked = turned(found).withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + COPIES)
+    at = lambda n: F.max(F.when(F.col("n") == n, F.col("similarity"))).over(Window.partitionBy("a"))
+    ranked = ranked.withColumns({"last": at(k), "next": at(k + 1)})
+    tight = (F.col("last") - F.col("next") <= SLACK) & (F.abs(F.col("similarity") - F.col("last")) <= SLACK)
+    doubt = ranked.where(tight | (F.abs(F.col("similarity") - floor) <= SLACK))
+    doubt = ws.save(doubt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "doubt")
+    ids = ws.save(doubt.select(F.col("a").alias("id")).union(doubt.select("b")).distinct(), "ids")
+    asked = ids.count()
+    if asked:
+        needed = ws.save(rows.join(_small(ids, asked), "id", "left_semi").dropDuplicates(["id"]).select("id", "v"), "needed")
+        vec = lambda n: needed.select(F.col("id").alias(n), F.col("v").alias(f"v{n}"))
+        sure = doubt.join(vec("a"), "a").join(vec("b"), "b").select("a", "b", "va", "vb").mapInArrow(exact, "a bigint, b bigint, exact double")
+        found = found.join(sure, ["a", "b"], "left").select("a", "b", F.coalesce("exact", "similarity").alias("similarity"))
+    scored = ws.save(found.where(F.col("similarity") >= floor), "scored")
+    top = turned(scored).withColumn("n", F.row_number().over(by)).where(F.col("n") <= k)
     pairs = top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
+    if not full:
+        out = ws.save(pairs, "pairs")
+        ws.drop(rows, first, approx, doubt, ids, scored)
+        return out
 
     heads = first.where(F.col("n") <= k).join(crowded, "mark", "left_semi").select("mark", F.col("id").alias("b"))
     rest = rows.select("id", "mark").distinct().join(crowded, "mark", "left_semi").join(first.select("mark", "id"), ["mark", "id"], "left_anti")
     copies = rest.join(heads, "mark").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), F.lit(1.0).alias("similarity"))
     out = ws.save(pairs.union(copies), "pairs")
-    ws.drop(rows, first, found, needed, scored)
-    shared.unpersist()
+    ws.drop(rows, first, approx, doubt, ids, scored)
     return out
 
 
