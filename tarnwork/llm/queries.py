@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import hash_forest, knn_tree, near_groups
+from tarnwork.llm import hash_forest, knn_tree, mixture, near_groups, stable_sample, tokens
 from tarnwork.runtime import load
 
 
@@ -15,13 +15,30 @@ def p3_found(spark, sf):
     return pairs.select(pairs.a.alias("pk_a"), pairs.b.alias("pk_b"))
 
 
+def p4_sample(spark, sf):
+    return stable_sample.tag_samples(load(spark, sf, "exported_row"), load(spark, sf, "training_tag"))
+
+
 def p5_found(spark, sf):
     return near_groups.near_groups(load(spark, sf, "docs"))
 
 
+def p6_ids(spark, sf):
+    return tokens.encode(load(spark, sf, "documents"))
+
+
+def p7_mix(spark, sf):
+    return mixture.Mixture(load(spark, sf, "documents"), load(spark, sf, "mix_target")).documents()
+
+
+def p7_shares(spark, sf):
+    return mixture.Mixture(load(spark, sf, "documents"), load(spark, sf, "mix_target")).shares()
+
+
 def queries():
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
+    found = (p1_found, p3_found, p4_sample, p5_found, p6_ids, p7_mix, p7_shares)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {}
+    return {"p4_sample": stable_sample.oracle()}
