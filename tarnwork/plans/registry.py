@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from tarnwork.operators.logparse import parse_logs
+from tarnwork.runtime import load
+
+
+def p2_found(spark, sf):
+    return parse_logs(load(spark, sf, "live_server_log"))
+
 
 def queries():
-    return {}
+    return {"p2_found": p2_found}
 
 
 def oracle_sql():
