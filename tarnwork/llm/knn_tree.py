@@ -206,7 +206,7 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
                     [pa.array(bins[r, c].astype(np.int32)), pa.array(ids[i + r]), pa.array([small[j].tobytes() for j in i + r], pa.binary())], ["leaf", "id", "v"]
                 )
 
-    def search(table: pa.Table) -> pa.Table:
+    def search(table):
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
