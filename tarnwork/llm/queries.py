@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import hash_forest, knn_tree, mixture, near_groups, stable_sample, tokens
+from tarnwork.llm import abuse, hash_forest, knn_tree, mixture, near_groups, stable_sample, tokens
 from tarnwork.runtime import load
 
 
@@ -35,8 +35,25 @@ def p7_shares(spark, sf):
     return mixture.Mixture(load(spark, sf, "documents"), load(spark, sf, "mix_target")).shares()
 
 
+def _marked(spark, sf, *keep):
+    docs = load(spark, sf, "documents")
+    return abuse.scored(docs, abuse.train(docs, load(spark, sf, "doc_label")), keep)
+
+
+def p8_found(spark, sf):
+    return _marked(spark, sf, "doc_id").where(f"chance >= {abuse.CUTOFF}").select("doc_id").distinct()
+
+
+def p8_scores(spark, sf):
+    return _marked(spark, sf, "doc_id", "source")
+
+
+def p8_rates(spark, sf):
+    return abuse.rates(_marked(spark, sf, "source"))
+
+
 def queries():
-    found = (p1_found, p3_found, p4_sample, p5_found, p6_ids, p7_mix, p7_shares)
+    found = (p1_found, p3_found, p4_sample, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in found}
 
 
