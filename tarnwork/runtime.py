@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever they start; once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tarnwork_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="tarnwork-code-"), "tarnwork")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(home), os.path.basename(home)))
+    sc._tarnwork_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +52,7 @@ def width(spark: SparkSession) -> int:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Give a CPU-heavy Python stage enough partitions; a large input keeps its own splits."""
     spark = df.sparkSession
+    ship(spark)
     if cols:
         return df.repartition(width(spark), *cols)
     if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
@@ -53,6 +68,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str = "w"):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
