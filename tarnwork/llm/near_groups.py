@@ -1,8 +1,8 @@
 """Near-duplicate groups by HyperMinHash registers (p5).
 
-Every text becomes 120 registers of a leading-zero count (6 bits) and 10 mantissa bits of a minimum
-hash. Bands of five registers propose pairs, a collision-corrected estimate drops hopeless ones, and
-exact trigram sets decide. Equal texts are folded to one representative before anything else.
+Every text becomes 224 registers of a leading-zero count (6 bits) and 10 mantissa bits of a minimum
+hash. Bands of seven registers propose pairs; one bit of each of 128 registers, and the set sizes, drop most of the
+hopeless ones where they are proposed; a collision-corrected estimate drops the rest, and exact trigram sets decide. Equal texts are folded to one representative before anything else.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from tarnwork.llm.shingles import U, digest, jaccard, minima, mix, multipliers,
 from tarnwork.operators.components import connected_components
 from tarnwork.runtime import Workspace, spread
 
-BANDS, ROWS, MANTISSA = 24, 5, 10
+BANDS, ROWS, MANTISSA, BITS = 32, 7, 10, 128
 SLOTS = BANDS * ROWS
 FACTORS = multipliers(SLOTS, 5)
 
@@ -79,17 +79,33 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, "id bigint, digest binary, norm string, size int, regs binary")
 
 
+def bits(regs: np.ndarray) -> np.ndarray:
+    """Two numbers of 64 bits, one bit of each of the first 128 registers."""
+    one = (mix(regs[:BITS].astype(U) ^ (np.arange(BITS, dtype=U) << U(16))) & U(1)).astype(np.uint8)
+    return np.packbits(one).view(np.int64)
+
+
 def explode_bands(sketches: DataFrame) -> DataFrame:
-    """(key, id): one row for each band of each sketch."""
+    """(key, id, size, f, g): one row for each band of each sketch, with the set size and the bits."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keys = np.concatenate([band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(1).to_pylist()])
-                ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
+                regs = [np.frombuffer(r, np.uint16) for r in batch.column(2).to_pylist()]
+                keys, both = np.concatenate([band_keys(r) for r in regs]), np.array([bits(r) for r in regs])
+                cols = [np.repeat(c, BANDS) for c in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), both[:, 0], both[:, 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, cols)], ["key", "id", "size", "f", "g"])
+
+    return sketches.select("id", "size", "regs").mapInArrow(run, "key bigint, id bigint, size int, f bigint, g bigint")
+
 
-    return sketches.select("id", "regs").mapInArrow(run, "key bigint, id bigint")
+def hopeful(a: str, b: str, threshold: float, slack: float = 5.0):
+    """Whether two band rows can belong to texts above the threshold: by their sizes, and by bits that
+    differ in at most ``slack`` standard deviations more places than they do on average at the threshold."""
+    odds = (1 - threshold) / 2
+    most = BITS * odds + slack * float(np.sqrt(BITS * odds * (1 - odds)))
+    differ = F.bit_count(F.col(f"{a}.f").bitwiseXOR(F.col(f"{b}.f"))) + F.bit_count(F.col(f"{a}.g").bitwiseXOR(F.col(f"{b}.g")))
+    return (differ <= most) & (F.least(f"{a}.size", f"{b}.size") >= threshold * F.greatest(f"{a}.size", f"{b}.size"))
 
 
 def verify(pairs: DataFrame, sketches: DataFrame, threshold: float, slack: float = 5.0) -> DataFrame:
@@ -135,18 +151,18 @@ def near_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text", thr
     reps = ws.save(every.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
     bands = ws.save(explode_bands(reps), "bands")
 
-    hubs = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    stars = bands.join(hubs, "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    stars = ws.save(stars, "stars")
+    row = F.struct("id", "size", "f", "g")
+    hubs = bands.groupBy("key").agg(F.min(row).alias("hub"), F.max("id").alias("z")).where("hub.id < z").select("key", "hub")
+    stars = bands.select("key", row.alias("own")).join(hubs, "key").where(F.col("own.id") > F.col("hub.id")).where(hopeful("hub", "own", threshold))
+    stars = ws.save(stars.select(F.col("hub.id").alias("a"), F.col("own.id").alias("b")).distinct(), "stars")
     edges = ws.save(verify(stars, reps, threshold), "edges")
     comps = connected_components(edges, ws)
 
-    placed = bands.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = ws.save(placed.join(mixed, "key"), "placed")
-    left = placed.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    right = placed.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    cross = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    kept = ws.save(bands.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    mixed = kept.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    placed = kept.join(mixed, "key", "left_semi")
+    cross = placed.alias("l").join(placed.alias("r"), "key").where("l.id < r.id and l.comp <> r.comp").where(hopeful("l", "r", threshold))
+    cross = cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     cross = ws.save(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     more = ws.save(verify(cross, reps, threshold), "more")
     if more.limit(1).count():
@@ -156,5 +172,5 @@ def near_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text", thr
     whole = classes.join(comps, classes.rep == comps.id, "left").select("digest", "n", F.coalesce("comp", "rep").alias("comp"), F.col("id").isNotNull().alias("linked"))
     member = every.select("id", "digest").join(whole.where("linked or n > 1"), "digest")
     out = ws.save(member.select(F.col("comp").alias("group_id"), "id").distinct(), "groups")
-    ws.drop(every, classes, reps, bands, stars, placed, cross, more, comps)
+    ws.drop(every, classes, reps, bands, stars, kept, cross, more, comps)
     return out
