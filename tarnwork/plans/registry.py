@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarnwork.operators.logparse import parse_logs
+from tarnwork.plans import relational
 from tarnwork.runtime import load
 
 
@@ -11,8 +12,8 @@ def p2_found(spark, sf):
 
 
 def queries():
-    return {"p2_found": p2_found}
+    return relational.queries() | {"p2_found": p2_found}
 
 
 def oracle_sql():
-    return {}
+    return relational.oracle_sql()
