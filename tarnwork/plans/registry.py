@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tarnwork.operators.logparse import parse_logs
-from tarnwork.plans import operators, relational
+from tarnwork.plans import managed, operators, relational
 from tarnwork.runtime import load
 
 
@@ -12,8 +12,8 @@ def p2_found(spark, sf):
 
 
 def queries():
-    return relational.queries() | operators.queries() | {"p2_found": p2_found}
+    return relational.queries() | operators.queries() | managed.queries() | {"p2_found": p2_found}
 
 
 def oracle_sql():
-    return relational.oracle_sql() | operators.oracle_sql()
+    return relational.oracle_sql() | operators.oracle_sql() | managed.oracle_sql()
