@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwork.llm.shingles import U, digest, jaccard, minima, mix, multipliers, normal, trigrams
 from tarnwork.runtime import Workspace, spread
 
-TREES, DEPTH, BITS = 24, 6, 10
+TREES, DEPTH, BITS, FIRST = 24, 6, 10, 16
 FACTORS = multipliers(TREES * DEPTH, 1)
 ENTRY = "id bigint, digest binary, norm string, size int, keys array<bigint>"
 
@@ -58,13 +58,13 @@ def entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def tree_rows(found: DataFrame) -> DataFrame:
-    return found.select("id", F.posexplode("keys").alias("tree", "key"))
+    return found.select("id", "size", F.posexplode("keys").alias("tree", "key"))
 
 
 class HashForest:
     """Accepted texts as sorted runs in the shared folder, and the search for a batch among them.
 
-    State: ``runs`` (tree, key, id) and ``texts`` (id, norm, size), one written table for each accepted batch.
+    State: ``runs`` (tree, key, id, size) and ``texts`` (id, norm, size), one written table for each accepted batch.
     History is read as keys only; its texts are read for proposed pairs alone and never signed again.
     When more than ``fanout`` runs stand side by side they are merged into one sorted run.
     """
@@ -97,37 +97,51 @@ class HashForest:
         self.add(every.join(every.groupBy("digest").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").dropDuplicates(["id"]))
         self.ws.drop(every)
 
-    def _candidates(self, reps: DataFrame) -> DataFrame:
-        """Pairs (other, id): rows of the same key range in some tree, other accepted before or earlier in the batch."""
+    def _ranges(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows under the prefix that names their key range, with id and size under ``name``."""
         prefix = F.shiftrightunsigned("key", BITS * (DEPTH - self.depth)).alias("prefix")
-        mine = tree_rows(reps).select("tree", prefix, "id")
-        there = mine.select("tree", "prefix", F.col("id").alias("other"), F.lit(True).alias("inner"))
-        if self.runs:
-            past = self._all(self.runs).select("tree", prefix, F.col("id").alias("other"), F.lit(False).alias("inner"))
-            there = past.unionByName(there)
-        return mine.join(there, ["tree", "prefix"]).where("not inner or other < id").select("other", "id", "inner").distinct()
+        return rows.select("tree", prefix, F.col("id").alias(name), F.col("size").alias(f"{name}_size"))
+
+    def _alike(self) -> Column:
+        return F.least("id_size", "other_size") >= self.threshold * F.greatest("id_size", "other_size")
+
+    def _past(self, mine: DataFrame, reps: DataFrame) -> DataFrame:
+        """(id, match_id): the smallest accepted id that each text resembles.
+
+        The FIRST lowest ids of every range are compared first; what they find bounds the rest, for only smaller ids
+        can change it. So a range full of mutually similar texts doesn't pair each newcomer with all of them.
+        """
+        ws = self.ws
+        if not self.runs:
+            return self.ws.spark.createDataFrame([], "id bigint, match_id bigint")
+        there = self._ranges(self._all(self.runs), "other").join(mine.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
+        rank = F.row_number().over(Window.partitionBy("tree", "prefix").orderBy("other"))
+        there = ws.save(there.withColumn("n", rank), "there")
+        low = ws.save(mine.join(there.where(F.col("n") <= FIRST), ["tree", "prefix"]).where(self._alike()).select("id", "other").distinct(), "low")
+        found = ws.save(self._verified(low, reps).groupBy("id").agg(F.min("other").alias("match_id")), "found")
+        deep = mine.join(there.where(F.col("n") > FIRST), ["tree", "prefix"]).where(self._alike()).select("id", "other")
+        deep = deep.join(found, "id", "left").where("match_id is null or other < match_id").select("id", "other").distinct().join(low, ["id", "other"], "left_anti")
+        more = self._verified(ws.save(deep, "deep"), reps).groupBy("id").agg(F.min("other").alias("match_id"))
+        return ws.save(found.unionByName(more).groupBy("id").agg(F.min("match_id").alias("match_id")), "matches")
 
     def _verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         threshold = self.threshold
 
         def run(batches):
             for batch in batches:
-                other, mine, inner, a, b = (batch.column(i).to_pylist() for i in range(5))
+                mine, other, a, b = (batch.column(i).to_pylist() for i in range(4))
                 keep = [k for k in range(batch.num_rows) if jaccard(trigrams(a[k]), trigrams(b[k])) >= threshold]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c[k] for k in keep], t) for c, t in ((other, pa.int64()), (mine, pa.int64()), (inner, pa.bool_()))],
-                    ["other", "id", "inner"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in keep], pa.int64()) for c in (mine, other)], ["id", "other"])
 
-        own = reps.select("id", "norm", "size")
-        pool = self._all([*self.texts, own]).select(F.col("id").alias("other"), F.col("norm").alias("norm_o"), F.col("size").alias("size_o"))
-        full = pairs.join(own, "id").join(pool, "other").where(F.least("size", "size_o") >= threshold * F.greatest("size", "size_o"))
-        return spread(full.select("other", "id", "inner", "norm_o", "norm"), "other", "id").mapInArrow(run, "other bigint, id bigint, inner boolean")
+        own = reps.select("id", "norm")
+        pool = self._all([*self.texts, reps.select("id", "norm", "size")]).select(F.col("id").alias("other"), F.col("norm").alias("norm_o"))
+        full = pairs.join(own, "id").join(pool, "other").select("id", "other", "norm", "norm_o")
+        return spread(full, "other", "id").mapInArrow(run, "id bigint, other bigint")
 
     def check(self, batch: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
         """``(match_id, id)`` of the batch's repeats; everything else of the batch is accepted and added.
 
-        Rows count in the order of id. Ids must be unique over all batches; a repeated row counts once. Texts that
+        Rows count in the order of id. Ids must be unique and ascend over batches; a repeated row counts once. Texts that
         are null, empty or shorter than 40 characters are neither cases nor kept. Equal texts inside the batch are
         settled with their first row. A row is settled once all earlier rows it resembles are: accepted if
         none of them is accepted, else a case. Each round settles the first open row of every chain.
@@ -136,15 +150,15 @@ class HashForest:
         every = ws.save(entries(batch, id_col, text_col), "batch")
         classes = ws.save(every.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")), "classes")
         reps = ws.save(every.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
-        links = ws.save(self._verified(self._candidates(reps), reps), "links")
-
-        inner = links.where("inner").select("other", "id")
-        cases = links.where("not inner").groupBy("id").agg(F.lit(True).alias("case"))
-        state = ws.save(
-            reps.select("id").join(cases, "id", "left").join(inner.select("id").distinct().withColumn("waits", F.lit(True)), "id", "left")
-            .select("id", F.when(F.col("case"), "case").when(F.col("waits").isNull(), "kept").alias("status")),
-            "state",
-        )
+        mine = ws.save(self._ranges(tree_rows(reps), "id"), "mine")
+        past = self._past(mine, reps)
+        fresh = mine.join(past.select("id"), "id", "left_anti")
+        before = fresh.select("tree", "prefix", F.col("id").alias("other"), F.col("id_size").alias("other_size"))
+        close = fresh.join(before, ["tree", "prefix"]).where("other < id").where(self._alike()).select("id", "other").distinct()
+        inner = ws.save(self._verified(ws.save(close, "close"), reps), "inner")
+        waits = inner.select("id").distinct().withColumn("waits", F.lit(True))
+        free = reps.select("id").join(past.select("id"), "id", "left_anti").join(waits, "id", "left")
+        state = ws.save(free.select("id", F.when(F.col("waits").isNull(), "kept").alias("status")), "state")
         while state.where("status is null").limit(1).count():
             before = state.select(F.col("id").alias("other"), F.col("status").alias("earlier"))
             seen = inner.join(state.where("status is null").select("id"), "id").join(before, "other").groupBy("id").agg(
@@ -157,14 +171,14 @@ class HashForest:
             ws.drop(old)
 
         kept = state.where("status = 'kept'").select("id")
-        usable = links.where("not inner").select("other", "id").union(inner.join(kept.select(F.col("id").alias("other")), "other").select("other", "id"))
-        best = usable.groupBy("id").agg(F.min("other").alias("match_id")).join(state.where("status = 'case'").select("id"), "id")
+        within = inner.join(kept.select(F.col("id").alias("other")), "other").groupBy("id").agg(F.min("other").alias("match_id"))
+        best = past.unionByName(within.join(state.where("status = 'case'").select("id"), "id"))
         settled = classes.join(best.withColumnRenamed("id", "rep"), "rep", "left").where("match_id is not null or n > 1")
         copies = every.select("id", "digest").distinct().join(settled, "digest")
         found = copies.select(F.coalesce("match_id", "rep").alias("match_id"), "id").where("match_id < id")
         found = ws.save(found, "found")
         self.add(reps.join(kept, "id"))
-        ws.drop(every, classes, reps, links, state)
+        ws.drop(every, classes, reps, mine, past, inner, state)
         return found
 
     def close(self) -> None:
