@@ -57,5 +57,17 @@ def queries():
     return {f.__name__: f for f in found}
 
 
+GROUPS = """
+WITH RECURSIVE n AS (SELECT id, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM docs WHERE text IS NOT NULL),
+d AS (SELECT id, t FROM n WHERE length(t) >= 40),
+g AS (SELECT DISTINCT id, substr(t, i, 3) AS s FROM (SELECT id, t, unnest(range(1, length(t) - 1)) AS i FROM d)),
+k AS (SELECT id, count(*) AS size FROM g GROUP BY id),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM g x JOIN g y ON x.s = y.s AND x.id <> y.id GROUP BY x.id, y.id),
+e AS (SELECT a, b FROM shared JOIN k p ON p.id = a JOIN k q ON q.id = b WHERE n >= 0.8 * (p.size + q.size - n)),
+r AS (SELECT a AS id, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id)
+SELECT CAST(min(m) AS BIGINT) AS group_id, CAST(id AS BIGINT) AS id FROM r GROUP BY id
+"""
+
+
 def oracle_sql():
-    return {"p4_sample": stable_sample.oracle()}
+    return {"p4_sample": stable_sample.oracle(), "p5_found": GROUPS}
