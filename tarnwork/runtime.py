@@ -67,10 +67,10 @@ class Workspace:
     executor costs nothing that was computed before. ``drop`` removes tables no longer needed.
     """
 
-    def __init__(self, spark: SparkSession, label: str = "w"):
+    def __init__(self, spark: SparkSession, label: str = "w", root: str | None = None):
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = (root or f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}").rstrip("/")
         self._n = 0
 
     def save(self, df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
@@ -83,8 +83,10 @@ class Workspace:
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
+        """Delete saved tables; frames that were never saved are skipped."""
         for df in dfs:
-            self._delete(df._tarnwork_path)
+            if path := getattr(df, "_tarnwork_path", None):
+                self._delete(path)
 
     def drop_all(self) -> None:
         self._delete(self.root)
