@@ -1,8 +1,9 @@
 """Near-duplicate groups by HyperMinHash registers (p5).
 
-Every text becomes 224 registers of a leading-zero count (6 bits) and 10 mantissa bits of a minimum
-hash. Bands of seven registers propose pairs; one bit of each of 128 registers, and the set sizes, drop most of the
-hopeless ones where they are proposed; a collision-corrected estimate drops the rest, and exact trigram sets decide. Equal texts are folded to one representative before anything else.
+One hash of every trigram goes into one bucket of each of four passes; a bucket's register is the leading-zero count (6 bits) and
+10 mantissa bits of its smallest hash. Bands of seven registers propose pairs; one bit of each of 128 registers, and the set
+sizes, drop most of the hopeless ones where they are proposed; a collision-corrected estimate drops the rest, and exact trigram sets
+decide. Equal texts are folded to one representative before anything else.
 """
 
 from __future__ import annotations
@@ -14,29 +15,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.shingles import U, digest, jaccard, minima, mix, multipliers, normal, trigrams
+from tarnwork.llm.shingles import BUCKETS, U, alike, bits, blocks, digest, hopeful, mix, signatures
 from tarnwork.operators.components import connected_components
 from tarnwork.runtime import Workspace, spread
 
-BANDS, ROWS, MANTISSA, BITS = 32, 7, 10, 128
-SLOTS = BANDS * ROWS
-FACTORS = multipliers(SLOTS, 5)
+BANDS, ROWS, MANTISSA, PASSES, BLOCK = 32, 7, 10, 4, 2048
+SLOTS = PASSES * BUCKETS
+WIDTH = 58
 
 
-def registers(grams: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a set: leading zeros and the bits behind the first one."""
-    low = minima(grams, FACTORS)
-    zeros = (64 - np.frexp(np.maximum(low, U(1)).astype(np.float64))[1]).clip(0, 63).astype(U)
-    fine = (low << np.minimum(zeros + U(1), U(63))) >> U(64 - MANTISSA)
+def registers(slots: np.ndarray) -> np.ndarray:
+    """HyperMinHash registers of minima of 58 bits: leading zeros and the bits behind the first one."""
+    low = np.maximum(slots, U(1))
+    zeros = (WIDTH - np.frexp(low.astype(np.float64))[1]).clip(0, 57).astype(U)
+    fine = ((low << (zeros + U(1))) & U((1 << WIDTH) - 1)) >> U(WIDTH - MANTISSA)
     return ((zeros << U(MANTISSA)) | fine).astype(np.uint16)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of registers."""
-    r = regs.reshape(BANDS, ROWS).astype(U)
-    key = mix(np.arange(BANDS, dtype=U))
+    """One 64-bit key for each band of registers, for each row of them."""
+    r = regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(U)
+    key = np.broadcast_to(mix(np.arange(BANDS, dtype=U)), r.shape[:2])
     for i in range(ROWS):
-        key = mix(key ^ r[:, i])
+        key = mix(key ^ r[:, :, i])
     return key.view(np.int64)
 
 
@@ -47,91 +48,78 @@ def chance(n: int, m: int) -> float:
     cell = np.arange(2**MANTISSA)[None, :]
     low = 2.0 ** -(lz + 1) * (1 + cell / 2**MANTISSA)
     high = low + 2.0 ** -(lz + 1 + MANTISSA)
-    p = lambda k: np.exp(-k * low) - np.exp(-k * high)
+    p = lambda k: (np.exp(-k * low) - np.exp(-k * high)) / (1 - np.exp(-k))
     return float((p(n) * p(m)).sum())
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
-    """Jaccard from agreeing registers, less the agreement that chance alone gives."""
-    grid = lambda k: 1 << max(0, int(k) - 1).bit_length()
-    lucky = chance(*sorted((grid(n), grid(m))))
+    """Jaccard from agreeing registers, less the agreement that chance alone gives to buckets of n / BUCKETS and m / BUCKETS members."""
+    grid = lambda k: 2.0 ** np.ceil(np.log2(max(1, k) / BUCKETS))
+    lucky = chance(*sorted((float(grid(n)), float(grid(m)))))
     return ((a == b).mean() - lucky) / (1 - lucky)
 
 
+ENTRY = "id bigint, digest binary, norm string, size int, regs binary, bands array<bigint>, f bigint, g bigint"
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, norm, size, regs) of every text long enough to take part."""
+    """Registers, band keys and bits of every text long enough to take part."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                norm = normal(text)
-                if i is not None and norm is not None:
-                    grams = trigrams(norm)
-                    out.append((i, digest(norm), norm, len(grams), registers(grams).tobytes()))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.binary()))],
-                ["id", "digest", "norm", "size", "regs"],
-            )
-
-    source = spread(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")))
-    return source.mapInArrow(run, "id bigint, digest binary, norm string, size int, regs binary")
+            for ids, norms in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size, slots = signatures(norms, PASSES)
+                regs, two = registers(slots), bits(slots)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(regs).reshape(-1)))
+                cols = [pa.array(ids, pa.int64()), pa.array([digest(t) for t in norms], pa.binary()), pa.array(norms, pa.string()), pa.array(size.astype(np.int32))]
+                cols += [pa.array([r.tobytes() for r in regs], pa.binary()), keys, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "norm", "size", "regs", "bands", "f", "g"])
 
+    return spread(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, ENTRY)
 
-def bits(regs: np.ndarray) -> np.ndarray:
-    """Two numbers of 64 bits, one bit of each of the first 128 registers."""
-    one = (mix(regs[:BITS].astype(U) ^ (np.arange(BITS, dtype=U) << U(16))) & U(1)).astype(np.uint8)
-    return np.packbits(one).view(np.int64)
 
-
-def explode_bands(sketches: DataFrame) -> DataFrame:
-    """(key, id, size, f, g): one row for each band of each sketch, with the set size and the bits."""
+def likely(pairs: DataFrame, threshold: float, slack: float = 5.0) -> DataFrame:
+    """The pairs (a, b, size_a, size_b, regs_a, regs_b) whose estimate lies less than ``slack`` standard deviations below the threshold."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                regs = [np.frombuffer(r, np.uint16) for r in batch.column(2).to_pylist()]
-                keys, both = np.concatenate([band_keys(r) for r in regs]), np.array([bits(r) for r in regs])
-                cols = [np.repeat(c, BANDS) for c in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), both[:, 0], both[:, 1])]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, cols)], ["key", "id", "size", "f", "g"])
+            na, nb, ra, rb = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for k in range(batch.num_rows):
+                x, y = np.frombuffer(ra[k], np.uint16), np.frombuffer(rb[k], np.uint16)
+                free = SLOTS * (1 - np.exp(-min(na[k], nb[k]) / BUCKETS))
+                keep[k] = estimate(x, y, na[k], nb[k]) >= threshold - slack * np.sqrt(threshold * (1 - threshold) / free)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
-    return sketches.select("id", "size", "regs").mapInArrow(run, "key bigint, id bigint, size int, f bigint, g bigint")
+    return pairs.select("a", "b", "size_a", "size_b", "regs_a", "regs_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def hopeful(a: str, b: str, threshold: float, slack: float = 5.0):
-    """Whether two band rows can belong to texts above the threshold: by their sizes, and by bits that
-    differ in at most ``slack`` standard deviations more places than they do on average at the threshold."""
-    odds = (1 - threshold) / 2
-    most = BITS * odds + slack * float(np.sqrt(BITS * odds * (1 - odds)))
-    differ = F.bit_count(F.col(f"{a}.f").bitwiseXOR(F.col(f"{b}.f"))) + F.bit_count(F.col(f"{a}.g").bitwiseXOR(F.col(f"{b}.g")))
-    return (differ <= most) & (F.least(f"{a}.size", f"{b}.size") >= threshold * F.greatest(f"{a}.size", f"{b}.size"))
+def verify(pairs: DataFrame, sketches: DataFrame, threshold: float, ws: Workspace) -> DataFrame:
+    """The pairs (a, b) whose texts are at least ``threshold`` alike: by the estimate first, then exactly."""
 
+    def side(x: str, *cols: str) -> DataFrame:
+        return sketches.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
 
-def verify(pairs: DataFrame, sketches: DataFrame, threshold: float, slack: float = 5.0) -> DataFrame:
-    """The pairs (a, b) whose texts are at least ``threshold`` alike.
+    hope = ws.save(likely(pairs.join(side("a", "size", "regs"), "a").join(side("b", "size", "regs"), "b"), threshold), "hope")
+    return ws.save(alike(hope.join(side("a", "norm"), "a").join(side("b", "norm"), "b"), threshold).select("a", "b"), "edges")
 
-    The estimate only rules out pairs more than ``slack`` standard deviations below the threshold.
-    """
-    floor = threshold - slack * float(np.sqrt(threshold * (1 - threshold) / SLOTS))
 
-    def run(batches):
-        for batch in batches:
-            a, b, ta, tb, na, nb, ra, rb = (batch.column(i).to_pylist() for i in range(8))
-            keep = []
-            for k in range(batch.num_rows):
-                small, large = sorted((na[k], nb[k]))
-                if small < threshold * large:
-                    continue
-                x, y = np.frombuffer(ra[k], np.uint16), np.frombuffer(rb[k], np.uint16)
-                if estimate(x, y, na[k], nb[k]) >= floor and jaccard(trigrams(ta[k]), trigrams(tb[k])) >= threshold:
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in keep], pa.int64()) for c in (a, b)], ["a", "b"])
+def crossing(placed: DataFrame, comps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Hopeful pairs (a, b) of different components in one bucket.
 
-    side = lambda x: sketches.select(*(F.col(c).alias(f"{c}_{x}") for c in ("norm", "size", "regs")), F.col("id").alias(x))
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    cols = ("a", "b", "norm_a", "norm_b", "size_a", "size_b", "regs_a", "regs_b")
-    return spread(full.select(*cols), "a", "b").mapInArrow(run, "a bigint, b bigint")
+    In each bucket the members outside its largest component meet all members, so a bucket of one big component and few others
+    costs their product, not the square of the bucket. A bucket's members are dealt into blocks of about ``block`` and the others are sent
+    to each block, so no task holds a hot bucket.
+    """
+    kept = placed.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    parts = kept.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    total = parts.groupBy("key").agg(F.sum("n").alias("rows"), F.count("*").alias("comps"), F.max_by("comp", "n").alias("main"))
+    mixed = total.where("comps > 1").select("key", "main", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    inside = kept.join(mixed, "key")
+    right = inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("r")
+    left = inside.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
+    both = left.join(right, ["key", "block"]).where("l.comp <> r.comp and (r.comp = r.main or l.id < r.id)").where(hopeful("l", "r", threshold))
+    return both.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -141,30 +129,28 @@ def near_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text", thr
     * Equal texts (copies and repeated rows with other ids) share one representative, the smallest id;
       the copies rejoin at the end by digest, so a text that fills a third of the table costs one sketch pair.
     * Within a band bucket each member is first compared with the bucket's smallest id. Only members that are
-      still in different components are then compared with each other, so a bucket full of mutually similar
-      texts yields a number of pairs in proportion to its size, and no link between components is lost.
+      then in different components are compared with each other (see :func:`crossing`), so a bucket full of mutually
+      similar texts yields a number of pairs in proportion to its size, and no link between components is lost.
     * An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     ws = Workspace(docs.sparkSession, "near")
     every = ws.save(sketch(docs, id_col, text_col), "every")
     classes = ws.save(every.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")), "classes")
     reps = ws.save(every.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
-    bands = ws.save(explode_bands(reps), "bands")
 
-    row = F.struct("id", "size", "f", "g")
-    hubs = bands.groupBy("key").agg(F.min(row).alias("hub"), F.max("id").alias("z")).where("hub.id < z").select("key", "hub")
-    stars = bands.select("key", row.alias("own")).join(hubs, "key").where(F.col("own.id") > F.col("hub.id")).where(hopeful("hub", "own", threshold))
-    stars = ws.save(stars.select(F.col("hub.id").alias("a"), F.col("own.id").alias("b")).distinct(), "stars")
-    edges = ws.save(verify(stars, reps, threshold), "edges")
+    bands = reps.select(F.explode("bands").alias("key"), "id", "size", "f", "g")
+    hub = [F.min_by(c, "id").alias(f"hub_{c}") for c in ("size", "f", "g")]
+    hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("z"), *hub).where("hub < z").drop("z")
+    placed = ws.save(bands.join(hubs, "key"), "placed")
+    own = placed.select(F.struct("id", "size", "f", "g").alias("own"), F.struct(F.col("hub").alias("id"), *[F.col(f"hub_{c}").alias(c) for c in ("size", "f", "g")]).alias("hub"))
+    stars = own.where("own.id > hub.id").where(hopeful("own", "hub", threshold)).select(F.col("hub.id").alias("a"), F.col("own.id").alias("b")).distinct()
+    stars = ws.save(stars, "stars")
+    edges = verify(stars, reps, threshold, ws)
     comps = connected_components(edges, ws)
 
-    kept = ws.save(bands.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    mixed = kept.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = kept.join(mixed, "key", "left_semi")
-    cross = placed.alias("l").join(placed.alias("r"), "key").where("l.id < r.id and l.comp <> r.comp").where(hopeful("l", "r", threshold))
-    cross = cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    cross = crossing(placed.select("key", "id", "size", "f", "g"), comps, threshold)
     cross = ws.save(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    more = ws.save(verify(cross, reps, threshold), "more")
+    more = verify(cross, reps, threshold, ws)
     if more.limit(1).count():
         edges = edges.union(more)
         comps = connected_components(edges, ws)
@@ -172,5 +158,5 @@ def near_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text", thr
     whole = classes.join(comps, classes.rep == comps.id, "left").select("digest", "n", F.coalesce("comp", "rep").alias("comp"), F.col("id").isNotNull().alias("linked"))
     member = every.select("id", "digest").join(whole.where("linked or n > 1"), "digest")
     out = ws.save(member.select(F.col("comp").alias("group_id"), "id").distinct(), "groups")
-    ws.drop(every, classes, reps, bands, stars, kept, cross, more, comps)
+    ws.drop(every, classes, reps, placed, stars, cross, more, comps)
     return out
