@@ -1,27 +1,26 @@
 """Log lines of mixed layouts into records (p2).
 
-Two passes. The first cuts the head of every line into typed tokens and counts their bigrams and trigrams over
-all lines; tokens inside frequent n-grams are constant, the others variable. A head whose constants and types give
-a time, a level and a component is a header template, and its tokens receive their field roles by type. The
-second pass reads each line by its template and joins continuation lines to the entry before them.
+Every line is cut once into typed tokens. Its head is what runs up to the mark behind a time, a level and a word; a line of
+named fields (an object or key=value pairs) is its keys with the types of their values. Distributed counts of the bigrams and
+trigrams of all heads make the dictionary: an n-gram seen often enough makes a layout known, a word that fills at least half of
+its place is constant, any other variable, and a key has the type that most of its values have. Each distinct head then gets its field
+roles by type, and lines take the roles of their head by join. Lines without roles continue the entry before them.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import uuid
-from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.runtime import Workspace, width
+from tarnwork.runtime import Workspace, spread, width
 
-CHUNK, HALO = 4096, 512
-HEAD_TOKENS = 24
+CHUNK, SPAN, SMALL = 4096, 16, 200_000
 YEAR = 2026
 
 # Level words and their letters.
@@ -53,6 +52,8 @@ TOKEN = re.compile(
     r"|(?P<WORD>\w(?:[\w.$/@-]|::)*)"
     r"|(?P<GAP>\s+)|(?P<MARK>.)"
 )
+PAIR = re.compile(r'([A-Za-z_@][\w.@-]*)=("(?:[^"\\]|\\.)*"|[^\s"]*)(?:\s+|$)')
+BODY_FIELD = re.compile(r'\s+"((?:[^"\\]|\\.)*)"\s*:\s*(.*?),?\s*$')
 OBJECT_OPEN, OBJECT_CLOSE = re.compile(r"\{\s*$"), re.compile(r"\}\s*,?\s*$")
 OBJECT_BODY = re.compile(r'\s+(?:"(?:[^"\\]|\\.)*"\s*:\s*\S.*|[\]}]\s*,?\s*)$|\s+.*,\s*$')
 
@@ -88,188 +89,66 @@ def level_of(text: str) -> str | None:
     return LEVELS.get(text.lower())
 
 
-def head(line: str) -> list[tuple[str, str, int]]:
-    """(type, text, end) of the leading tokens, up to where a time, a level and something after them are seen."""
-    out, pos, times, levels, words = [], 0, 0, 0, 0
-    while pos < len(line) and len(out) < HEAD_TOKENS:
+def head(line: str) -> tuple[list[str], list[str], list[int]] | None:
+    """Types, texts and ends of the tokens up to the mark behind a time, a level and a word; None where the line lacks one of them.
+
+    A time that begins with a level's letter counts as that level and the time.
+    """
+    kinds, texts, ends, pos = [], [], [], 0
+    times = levels = words = 0
+    while pos < len(line):
         m = TOKEN.match(line, pos)
         kind, text = m.lastgroup, m[0]
+        pos = m.end()
         if kind == "WORD" and level_of(text):
             kind = "LEVEL"
-        out.append((kind, text, m.end()))
-        pos = m.end()
+        if kind == "TIME" and text[0] in LETTERS and text[1].isdigit():
+            kinds.append("LEVEL")
+            texts.append(text[0])
+            ends.append(pos - len(text) + 1)
+            levels += 1
+        kinds.append(kind)
+        texts.append(text)
+        ends.append(pos)
         times += kind == "TIME"
-        levels += kind == "LEVEL" or (kind == "TIME" and text[0].isalpha() and text[1].isdigit())
+        levels += kind == "LEVEL"
         words += kind in ("WORD", "FILE")
-        if not times and len(out) > 3:
-            break
-        if times and levels and words and kind == "MARK" and text in ":]" or text == "-" and times and levels and words:
-            break
-    return out
-
-
-def shape(tokens: list[tuple[str, str, int]]) -> tuple[str, ...]:
-    """Tokens as dictionary terms: variable types by name, words and marks as they stand."""
-    return tuple(k if k not in ("WORD", "MARK", "GAP") else t if k != "GAP" else " " for k, t, _ in tokens)
-
-
-class Dictionary:
-    """Counted bigrams and trigrams of head tokens, with words as they stand and with words masked.
-
-    A token is constant if it stands in a trigram, or failing that a bigram, of at least ``least`` occurrences. Only
-    a head whose masked n-grams are all frequent belongs to a template.
-    """
-
-    def __init__(self, frequent: set[tuple[str, ...]]):
-        self.frequent = frequent
-
-    def template(self, terms: tuple[str, ...]) -> tuple[str, ...]:
-        """The terms with variable words masked."""
-        pad = ("^", *terms)
-        near = lambda i: [pad[j : j + n] for n in (3, 2) for j in range(max(0, i - n + 1), i + 1) if j + n <= len(pad)]
-        return tuple(t if not is_word(t) or any(g in self.frequent for g in near(i)) else "WORD" for i, t in enumerate(pad) if i)
-
-    def covers(self, terms: tuple[str, ...]) -> bool:
-        return all(g in self.frequent for g in grams_of(masked(terms)))
-
-
-def is_word(term: str) -> bool:
-    return (term[:1].isalnum() or term[:1] == "_") and term not in ("TIME", "LEVEL", "NUMBER", "TEXT", "FILE")
-
-
-def masked(terms: tuple[str, ...]) -> tuple[str, ...]:
-    return tuple("WORD" if is_word(t) else t for t in terms)
-
-
-def grams_of(terms: tuple[str, ...]):
-    pad = ("^", *terms)
-    for n in (2, 3):
-        for i in range(len(pad) - n + 1):
-            yield pad[i : i + n]
-
-
-def count_grams(lines: DataFrame, least: int) -> Dictionary:
-    """The dictionary of all lines. Tasks count first, so the shuffle carries one row for each distinct n-gram of a task.
-
-    Heads end where a header may end, so message words hardly enter; rare n-grams are dropped before they reach the driver.
-    """
+        if times and levels and words and kind == "MARK" and text in ":]-":
+            while pos < len(line) and line[pos] in "]:)":
+                kinds.append("MARK")
+                texts.append(line[pos])
+                pos += 1
+                ends.append(pos)
+            return kinds, texts, ends
+        if not times and words > 1:
+            return None
+    return None
 
-    def pack(shapes: Counter) -> pa.RecordBatch:
-        seen: Counter = Counter()
-        for terms, n in shapes.items():
-            for form in {terms, masked(terms)}:
-                for g in grams_of(form):
-                    seen[g] += n
-        return pa.RecordBatch.from_arrays([pa.array(["\x1f".join(g) for g in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
 
-    def run(batches):
-        shapes: Counter = Counter()
-        for batch in batches:
-            for line in batch.column(0).to_pylist():
-                if line and not line[0].isspace():
-                    tokens = head(COLOUR.sub("", line) if "\x1b" in line else line)
-                    if any(k == "TIME" for k, _, _ in tokens):
-                        shapes[shape(tokens)] += 1
-            if len(shapes) > 50_000:
-                yield pack(shapes)
-                shapes.clear()
-        yield pack(shapes)
+def terms(kinds: list[str], texts: list[str]) -> list[str]:
+    """Tokens as dictionary terms: typed ones by their type, words and marks as they stand."""
+    return [t if k in ("WORD", "MARK") else " " if k == "GAP" else k for k, t in zip(kinds, texts)]
 
-    rows = lines.mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return Dictionary({tuple(r.gram.split("\x1f")) for r in rows.collect()})
 
+def value_type(text: str) -> str:
+    """The type of a field's value."""
+    if micros(text) is not None:
+        return "TIME"
+    if level_of(text):
+        return "LEVEL"
+    if re.fullmatch(r"-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null", text):
+        return "NUMBER"
+    return "TEXT" if not text or any(c.isspace() for c in text) else "WORD"
 
-def roles(tokens: list[tuple[str, str, int]]):
-    """Field roles of a head by type: indices of time, level and component, and of the token that ends the header.
 
-    The header must begin the line: before its time only one opening bracket may stand. The component is
-    the word, file or bracketed word nearest to the level that is neither a number nor a host before a program.
-    """
-    kinds = [k for k, _, _ in tokens]
-    texts = [t for _, t, _ in tokens]
-    if "TIME" not in kinds:
-        return None
-    time = kinds.index("TIME")
-    if time > 1 or (time == 1 and texts[0] != "["):
-        return None
-    if re.match(r"[A-Z]\d", texts[time]):
-        if "FILE" in kinds:
-            part = kinds.index("FILE")
-            if part + 1 < len(texts) and texts[part + 1] == "]" and all(k in ("GAP", "NUMBER") for k in kinds[1:part]):
-                return time, time, part, part + 1
-        return None
-    if "LEVEL" not in kinds[time:]:
-        return None
-    level = kinds.index("LEVEL", time)
-    words = [i for i in range(time + 1, len(kinds)) if kinds[i] in ("WORD", "FILE") and i != level]
-    before = [i for i in words if i < level]
-    after = [i for i in words if i > level]
-    if len(before) > 2 or any(texts[i] not in "[]:-()" for i in range(time + 1, level) if kinds[i] == "MARK"):
-        return None
-    if before:
-        part = before[-1]
-        last = level
-    elif after:
-        part = last = after[0]
-        if any(texts[i] not in "[]:-" for i in range(level + 1, part) if kinds[i] == "MARK"):
-            return None
-    else:
-        return None
-    end = last
-    while end + 1 < len(texts) and kinds[end + 1] == "MARK" and texts[end + 1] in "]:)":
-        end += 1
-    if end == last:
-        if last + 2 < len(texts) and kinds[last + 1] == "GAP" and texts[last + 2] == "-":
-            end = last + 2
-        else:
-            return None
-    return time, level, part, end
-
-
-class LineReader:
-    """Reads single lines by the templates of a dictionary; each template's roles are worked out once."""
-
-    def __init__(self, dictionary: Dictionary):
-        self.dictionary = dictionary
-        self.known: dict = {}
-
-    def header(self, raw: str):
-        """(ts_us, level, component, message) of a line that begins an entry, else None."""
-        if not raw or raw[0].isspace():
-            return None
-        line = COLOUR.sub("", raw) if "\x1b" in raw else raw
-        if not line or line[0].isspace():
-            return None
-        if line[0] == "{":
-            return named(scan_object(line))
-        if "=" in line[:40] and (found := named(scan_pairs(line))):
-            return found
-        tokens = head(line)
-        terms = shape(tokens)
-        if terms not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[terms] = roles(tokens) if self.dictionary.covers(terms) else None
-        where = self.known[terms]
-        if where is None:
-            return None
-        time, level, part, end = where
-        ts = micros(tokens[time][1])
-        name = LETTERS.get(tokens[time][1][0]) if level == time else level_of(tokens[level][1])
-        if ts is None or name is None:
-            return None
-        what = tokens[part][1]
-        if tokens[part][0] == "FILE":
-            what = what.rpartition(":")[0]
-        rest = line[tokens[end][2] :]
-        return ts, name, what.rstrip(":"), rest.lstrip(" ")
+def code(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def scan_pairs(line: str) -> dict[tuple[str, ...], str]:
     """key=value pairs of a line, as far as it is made of them; the first value of a key counts."""
     out, pos = {}, 0
-    pair = re.compile(r'([A-Za-z_@][\w.@-]*)=("(?:[^"\\]|\\.)*"|[^\s"]*)(?:\s+|$)')
-    while m := pair.match(line, pos):
+    while m := PAIR.match(line, pos):
         value = m[2]
         if value[:1] == '"':
             try:
@@ -341,75 +220,207 @@ def scan_object(text: str) -> dict[tuple[str, ...], str]:
     return out
 
 
-def named(fields: dict[tuple[str, ...], str]):
-    """An entry of named fields: roles by key and type; all four must be there."""
-    if len(fields) < 3:
-        return None
 
-    def pick(keys: set[str], test):
-        found = [(len(p), i, v) for i, (p, v) in enumerate(fields.items()) if p[-1].lower() in keys and len(p) <= 2 and (len(p) == 1 or p[0] == "fields") and test(v)]
-        return min(found)[2] if found else None
+def named_fields(line: str) -> dict[tuple[str, ...], str] | None:
+    """The fields of a line made of named fields, at least three; None for any other line."""
+    found = scan_object(line) if line[0] == "{" else scan_pairs(line) if PAIR.match(line) else {}
+    return found if len(found) > 2 else None
+
+
+def rank(paths: list[tuple[str, ...]], types: dict[str, str]) -> tuple[int, int, int, int] | None:
+    """Positions of time, level, component and message among named fields, by the type each key has in the dictionary.
 
-    ts = pick(TIME_KEYS, lambda v: micros(str(v)) is not None)
-    level = pick(LEVEL_KEYS, lambda v: level_of(str(v)) is not None)
-    part = pick(PART_KEYS, lambda v: bool(str(v)))
-    text = pick(TEXT_KEYS, lambda v: True)
-    if None in (ts, level, part, text):
+    Of several keys with the right type one whose name is usual for the role comes first, then the outermost, then the first.
+    """
+    roles = []
+    for wanted, names in ((("TIME",), TIME_KEYS), (("LEVEL",), LEVEL_KEYS), (("WORD",), PART_KEYS), (("TEXT", "WORD", "NUMBER"), TEXT_KEYS)):
+        fit = []
+        for i, p in enumerate(paths):
+            if len(p) <= 2 and i not in roles and (kind := types.get("/".join(p))) in wanted:
+                usual = p[-1].lower() in names and (len(p) == 1 or p[0] == "fields")
+                if usual or kind == wanted[0]:
+                    fit.append((not usual, len(p), i))
+        if not fit:
+            return None
+        roles.append(min(fit)[2])
+    return tuple(roles)
+
+
+def roles(kinds: list[str], texts: list[str], constant: list[bool]) -> tuple[int, int, int, int] | None:
+    """Positions of time, level and component in a head, and of the token that ends the header.
+
+    Before the time only marks, the level and constant words may stand. The component is the word or file nearest to the level that
+    doesn't name what follows it: a constant word is passed over unless a mark stands right behind it.
+    """
+    time, level = kinds.index("TIME"), kinds.index("LEVEL")
+    if any(k in ("WORD", "FILE", "TEXT", "NUMBER") and not constant[i] for i, k in enumerate(kinds[:time])):
         return None
-    return micros(str(ts)), level_of(str(level)), str(part), str(text)
+    if any(t not in "[(<" for k, t in zip(kinds[:time], texts) if k == "MARK"):
+        return None
+    closed = lambda i: i + 1 < len(kinds) and kinds[i + 1] == "MARK"
+    words = [i for i in range(len(kinds)) if kinds[i] in ("WORD", "FILE") and i > min(time, level) and not (constant[i] and not closed(i) and kinds[i] == "WORD")]
+    words = words or [i for i in range(len(kinds)) if kinds[i] in ("WORD", "FILE") and i > min(time, level)]
+    before, after = [i for i in words if i < level], [i for i in words if i > level]
+    if not words or len(before) > 2:
+        return None
+    part = before[-1] if before and time < level else after[0] if after else before[-1]
+    low, high = min(time, level, part), max(time, level, part)
+    if any(t not in "[]:-()" for k, t in zip(kinds[low:high], texts[low:high]) if k == "MARK"):
+        return None
+    end = high
+    while end + 1 < len(texts) and kinds[end + 1] == "MARK" and texts[end + 1] in "]:)":
+        end += 1
+    if end == high:
+        if kinds[-1] != "MARK" or any(kinds[i] not in ("GAP", "MARK", "NUMBER") and not constant[i] for i in range(high + 1, len(kinds))):
+            return None
+        end = len(kinds) - 1
+    return time, level, part, end
+
+
+CUT = "log_stream string, line_no bigint, message string, head bigint, kinds array<string>, cells array<string>, stamps array<bigint>, ends array<int>, keys array<string>"
+CUT_ARROW = pa.schema([
+    ("log_stream", pa.string()), ("line_no", pa.int64()), ("message", pa.string()), ("head", pa.int64()), ("kinds", pa.list_(pa.string())), ("cells", pa.list_(pa.string())),
+    ("stamps", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("keys", pa.list_(pa.string())),
+])
 
 
-FIELDS = "log_stream string, line_no bigint, last_line_no bigint, ts_us bigint, log_level string, component string, message string, head_end bigint, kind string"
-RECORD = pa.schema([("log_stream", pa.string()), ("line_no", pa.int64()), ("last_line_no", pa.int64()), ("ts_us", pa.int64()), ("log_level", pa.string()), ("component", pa.string()), ("message", pa.string()), ("head_end", pa.int64()), ("kind", pa.string())])
-_readers: dict[str, LineReader] = {}
+def cut_line(raw: str) -> tuple:
+    """(head, kinds, cells, stamps, ends, keys) of a line.
 
+    Plain heads have ends, lines of named fields have keys (paths joined by ``/``); ``head`` numbers what must agree for two lines to have
+    the same roles. A field of an object over several lines has its key, behind a ``~``, and type only. All are null for other lines.
+    """
+    nothing = (None,) * 6
+    if not raw:
+        return nothing
+    if raw[0].isspace():
+        m = BODY_FIELD.match(raw)
+        if not m or not m[2] or m[2][0] in "{[":
+            return nothing
+        value = m[2][1:-1] if m[2][0] == '"' and m[2][-1] == '"' else m[2]
+        return None, [value_type(value)], None, None, None, ["~" + m[1]]
+    line = COLOUR.sub("", raw) if "\x1b" in raw else raw
+    if not line or line[0].isspace():
+        return nothing
+    if fields := named_fields(line):
+        keys = ["/".join(p) for p in fields]
+        kinds = [value_type(v) for v in fields.values()]
+        stamps = [micros(v) if k == "TIME" else None for k, v in zip(kinds, fields.values())]
+        cells = [level_of(v) if k == "LEVEL" else v for k, v in zip(kinds, fields.values())]
+        return code("named", *keys), kinds, cells, stamps, None, keys
+    found = head(line)
+    if found is None:
+        return nothing
+    kinds, texts, ends = found
+    stamps = [micros(t) if k == "TIME" else None for k, t in zip(kinds, texts)]
+    cells = [LETTERS.get(t) or level_of(t) if k == "LEVEL" else t for k, t in zip(kinds, texts)]
+    return code("plain", *terms(kinds, texts)), kinds, cells, stamps, ends, None
+
+
+def grams(words: list[str]):
+    """(first position, bigram or trigram) of terms behind a start mark, which has position -1."""
+    pad = ["^", *words]
+    for n in (2, 3):
+        for i in range(len(pad) - n + 1):
+            yield i - 1, pad[i : i + n]
 
-def reader_of(shared, key: str) -> LineReader:
-    """The task process's reader; templates met once stay known for all its chunks."""
-    if key not in _readers:
-        _readers[key] = LineReader(shared.value)
-    return _readers[key]
 
+def masked(kinds: list[str], words: list[str]) -> list[str]:
+    return ["WORD" if k == "WORD" else w for k, w in zip(kinds, words)]
 
-def object_end(lines: list[tuple[int, str]], i: int) -> int:
+
+def dictionary(lines: DataFrame, least: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Roles of heads, (head, time, level, part, last), and types of keys, (key, kind).
+
+    Heads and keys are counted where they lie; n-grams, their counts and the verdicts are tables throughout. A plain head counts if each of
+    its n-grams, words masked, is seen ``least`` times; a named one if it's made of keys seen as often.
+    """
+    plain = lines.where("ends is not null").groupBy("head").agg(F.count("*").alias("n"), F.first("kinds").alias("kinds"), F.first("cells").alias("cells"))
+    plain = ws.save(plain, "heads")
+
+    def explode(batches):
+        for batch in batches:
+            rows = []
+            for h, n, kinds, cells in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                words = terms(kinds, cells)
+                for (at, u), (_, m) in zip(grams(words), grams(masked(kinds, words))):
+                    rows.append((h, n, at, len(u), code(*u), code("masked", *m)))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_)], ["head", "n", "at", "size", "own", "mask"])
+
+    spread_ = plain.select("head", "n", "kinds", "cells").mapInArrow(explode, "head bigint, n bigint, at int, size int, own bigint, mask bigint")
+    found = ws.save(spread_, "grams")
+    counts = found.select(F.col("own").alias("gram"), "n").union(found.select("mask", "n")).groupBy("gram").agg(F.sum("n").alias("count"))
+    counts = ws.save(counts, "counts")
+    near = found.join(counts.select(F.col("gram").alias("own"), F.col("count").alias("seen")), "own").join(counts.select(F.col("gram").alias("mask"), F.col("count").alias("room")), "mask")
+    seen = near.groupBy("head").agg(F.collect_list(F.struct("at", "size", "seen", "room")).alias("counts"))
+
+    def judge(batches):
+        for batch in batches:
+            rows = []
+            for h, kinds, cells, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                constant = [False] * len(kinds)
+                for c in counts:
+                    if 2 * c["seen"] >= c["room"]:
+                        for i in range(max(0, c["at"]), c["at"] + c["size"]):
+                            constant[i] = True
+                if all(c["room"] >= least for c in counts) and (found := roles(kinds, cells, constant)):
+                    rows.append((h, *found))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] + [pa.int32()] * 4)], ["head", "time", "level", "part", "last"])
+
+    verdicts = plain.join(seen, "head").select("head", "kinds", "cells", "counts").mapInArrow(judge, "head bigint, time int, level int, part int, last int")
+
+    pairs = lines.where("keys is not null").select(F.explode(F.arrays_zip("keys", "kinds")).alias("p")).groupBy("p.keys", "p.kinds").agg(F.count("*").alias("n"))
+    types = pairs.groupBy(F.col("keys").alias("key")).agg(F.max_by("kinds", F.struct("n", "kinds")).alias("kind"), F.sum("n").alias("n"), F.sum(F.when(F.col("kinds") == "TEXT", F.col("n"))).alias("long"))
+    # a key that often holds phrases is text even where most of its values are single words
+    kind = F.when((F.col("kind") == "WORD") & (F.col("long") * 4 >= F.col("n")), "TEXT").otherwise(F.col("kind"))
+    types = ws.save(types.where(F.col("n") >= least).select("key", kind.alias("kind")), "types")
+    layouts = lines.where("keys is not null and head is not null").groupBy("head").agg(F.first("keys").alias("keys"))
+    known = layouts.select("head", "keys", F.posexplode("keys").alias("at", "key")).join(types, "key").groupBy("head").agg(F.first("keys").alias("keys"), F.collect_list(F.struct("key", "kind")).alias("types"))
+
+    def settle(batches):
+        for batch in batches:
+            rows = []
+            for h, keys, types in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if found := rank([tuple(k.split("/")) for k in keys], {t["key"]: t["kind"] for t in types}):
+                    rows.append((h, *found))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] + [pa.int32()] * 4)], ["head", "time", "level", "part", "last"])
+
+    verdicts = verdicts.union(known.select("head", "keys", "types").mapInArrow(settle, "head bigint, time int, level int, part int, last int"))
+    return ws.save(verdicts, "verdicts"), types
+
+
+FIELDS = "log_stream string, line_no bigint, last_line_no bigint, ts_us bigint, log_level string, component string, message string"
+RECORD = pa.schema([("log_stream", pa.string()), ("line_no", pa.int64()), ("last_line_no", pa.int64()), ("ts_us", pa.int64()), ("log_level", pa.string()), ("component", pa.string()), ("message", pa.string())])
+
+
+def object_end(lines: list[str], i: int) -> int:
     """Index behind the multi-line object that opens at i: indented body lines and a closing brace at the margin."""
     j = i + 1
-    while j < len(lines) and OBJECT_BODY.match(lines[j][1]):
+    while j < len(lines) and OBJECT_BODY.match(lines[j]):
         j += 1
-    return j + (j < len(lines) and bool(OBJECT_CLOSE.fullmatch(lines[j][1])))
+    return j + (j < len(lines) and bool(OBJECT_CLOSE.fullmatch(lines[j])))
 
 
-def assemble(lines: list[tuple[int, str]], own: int, reader: LineReader):
-    """Rows [first, last, header or None, lines that follow, last line of the header] from lines in order.
+def object_fields(lines: list[str], i: int, types: dict[str, str]):
+    """(end, (ts_us, level, component, message)) of the entry whose object opens at line i; None where it's none.
 
-    Only the first ``own`` lines belong to the chunk; the rest may complete an object that opens among them. Lines
-    before the first entry come first, without header: those that an object of the chunk before may own one by one.
+    ``types`` are the frequent keys' types; a key without stands for what its own value looks like.
     """
-    entry, i, leading = None, 0, True
-    while i < own:
-        no, text = lines[i]
-        found, j = None, i + 1
-        if OBJECT_OPEN.fullmatch(text):
-            end = object_end(lines, i)
-            found = named(scan_object("\n".join(t for _, t in lines[i:end])))
-            j = end if found else j
-        else:
-            found = reader.header(text)
-        if found:
-            if entry:
-                yield entry
-            entry, leading = [no, lines[j - 1][0], found, [], lines[j - 1][0]], False
-        elif leading and (OBJECT_BODY.match(text) or OBJECT_CLOSE.fullmatch(text)):
-            yield [no, no, None, [text], None]
-        else:
-            leading = False
-            if entry is None:
-                entry = [no, no, None, [], None]
-            entry[1] = no
-            entry[3].append(text)
-        i = j
-    if entry:
-        yield entry
+    end = object_end(lines, i)
+    fields = scan_object("\n".join(lines[i:end]))
+    if len(fields) < 3:
+        return None
+    paths, values = list(fields), list(fields.values())
+    own = {"/".join(p): types.get("~" + p[-1]) or value_type(v) for p, v in fields.items()}
+    found = rank(paths, own)
+    if found is None:
+        return None
+    ts, level = micros(values[found[0]]), level_of(values[found[1]])
+    return (end, (ts, level, values[found[2]], values[found[3]])) if ts is not None and level else None
 
 
 def parse_logs(logs: DataFrame, least: int = 3) -> DataFrame:
@@ -418,54 +429,87 @@ def parse_logs(logs: DataFrame, least: int = 3) -> DataFrame:
     * Null messages, streams and line numbers are skipped; repeated lines (log_stream, line_no) count once, with the smallest
       message should they differ. Blank lines continue the entry before them. An empty table gives an empty result.
     * A layout counts once it is seen ``least`` times among all lines; fewer lines of it than that are continuation lines.
-    * A stream is cut into chunks of CHUNK line numbers, so no task holds more of a stream than that, however large
-      it is; a chunk also sees the next HALO lines, to finish an object of up to so many lines that crosses its end.
-      What a chunk holds before its first entry joins the entry before by a second, small step.
+    * A stream is cut into pieces of CHUNK line numbers, each moved to where an entry surely begins: at its first line with a header, or
+      in a piece without any at the first object that makes an entry. What lies before goes with the piece before. So no
+      entry is ever cut and no task holds more than a piece and the entry that runs on behind it.
     """
-    spark, ws = logs.sparkSession, Workspace(logs.sparkSession, "logs")
+    ws = Workspace(logs.sparkSession, "logs")
     clean = logs.where("log_stream is not null and line_no is not null and message is not null")
-    shared = spark.sparkContext.broadcast(count_grams(clean.select("message"), least))
-    mark = uuid.uuid4().hex
 
-    def thin(batches):
+    def cut(batches):
         for batch in batches:
-            once = pa.Table.from_batches([batch]).group_by(["log_stream", "line_no"]).aggregate([("message", "min")])
-            yield from once.rename_columns(["log_stream", "line_no", "message"]).to_batches()
-
-    def read(key, table):
-        stream, chunk = (k.as_py() for k in key)
-        reader, lines = reader_of(shared, mark), {}
-        for no, text in zip(table.column("line_no").to_pylist(), table.column("message").to_pylist()):
-            lines[no] = min(text, lines.get(no, text))
-        ordered = sorted(lines.items())
-        own = sum(no // CHUNK == chunk for no, _ in ordered)
-        rows = []
-        for first, last, found, more, head_end in assemble(ordered, own, reader):
-            if found:
-                rows.append([stream, first, last, *found[:3], "\n".join([found[3], *more]), head_end, "entry"])
-            else:
-                rows.append([stream, first, last, None, None, None, "\n".join(more), None, "loose"])
-        if rows and rows[-1][-1] == "entry":
-            rows[-1][-1] = "end"
-        cols = list(zip(*rows)) if rows else [[]] * len(RECORD)
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, RECORD)], schema=RECORD)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                cols = list(zip(*map(cut_line, part.column(2).to_pylist())))
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, f.type) for c, f in zip(cols, list(CUT_ARROW)[3:])]], schema=CUT_ARROW)
 
     slim = clean.select("log_stream", F.col("line_no").cast("bigint").alias("line_no"), F.col("message").cast("string").alias("message"))
-    slim = slim.mapInArrow(thin, "log_stream string, line_no bigint, message string")
-    home = F.floor(F.col("line_no") / CHUNK)
-    near = F.pmod(F.col("line_no"), F.lit(CHUNK)) < HALO
-    slim = slim.withColumn("chunk", F.explode(F.when(near, F.array(home, home - 1)).otherwise(F.array(home))))
-    pieces = ws.save(slim.repartition(width(spark), "log_stream", "chunk").groupBy("log_stream", "chunk").applyInArrow(read, FIELDS), "pieces")
-
-    shown = ["log_stream", "line_no", "last_line_no", "ts_us", "log_level", "component", "message"]
-    seams = pieces.where("kind <> 'entry'")
-    before = Window.partitionBy("log_stream").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    at_end = F.col("kind") == "end"
-    owned = seams.withColumns({"owner": F.last(F.when(at_end, F.col("line_no")), True).over(before), "owned_to": F.last(F.when(at_end, F.col("head_end")), True).over(before)})
-    parts = owned.where(at_end | (F.col("line_no") > F.col("owned_to")))
-    first = lambda c: F.max(F.when(at_end, F.col(c))).alias(c)
-    whole = parts.groupBy("log_stream", "owner").agg(
-        first("line_no"), F.max("last_line_no").alias("last_line_no"), first("ts_us"), first("log_level"), first("component"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "message"))), lambda x: x["message"]), "\n").alias("message"),
+    lines = ws.save(spread(slim).mapInArrow(cut, CUT), "lines")
+    verdicts, types = dictionary(lines, least, ws)
+    n = verdicts.count()
+    verdicts = F.broadcast(verdicts) if n <= SMALL else verdicts
+    named = F.col("keys").isNotNull()
+    cell = lambda c, i: F.get(c, F.col(i))
+    bare = F.when(F.col("message").contains("\x1b"), F.regexp_replace("message", COLOUR.pattern, "")).otherwise(F.col("message"))
+    part = F.when(cell("kinds", "part") == "FILE", F.regexp_extract(cell("cells", "part"), "^(.*):", 1)).otherwise(F.regexp_replace(cell("cells", "part"), ":+$", ""))
+    rest = F.ltrim(F.substring(bare, cell("ends", "last") + 1, F.length(bare)))
+    opens = F.col("message").rlike(r"^\{\s*$")
+    heads = lines.where("head is not null").join(verdicts, "head", "left").select(
+        "log_stream", "line_no", "message", cell("stamps", "time").alias("ts_us"), F.when(cell("kinds", "level") == "LEVEL", cell("cells", "level")).alias("log_level"),
+        F.when(named, cell("cells", "part")).otherwise(part).alias("component"), F.when(named, cell("cells", "last")).otherwise(rest).alias("text"), opens.alias("opens"),
     )
-    return pieces.where("kind = 'entry'").select(shown).union(whole.select(shown))
+    full = "ts_us is not null and log_level is not null and component is not null and component <> '' and text is not null"
+    keep = lambda c: F.when(F.expr(full), F.col(c)).alias(c)
+    heads = heads.select("log_stream", "line_no", "message", *[keep(c) for c in ("ts_us", "log_level", "component", "text")], "opens")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ts_us", "bigint"), ("log_level", "string"), ("component", "string"), ("text", "string"))]
+    read = heads.union(lines.where("head is null").select("log_stream", "line_no", "message", *none, opens.alias("opens")))
+    read = ws.save(read.withColumn("piece", F.floor(F.col("line_no") / CHUNK)), "read")
+    frequent = _frequent(types)
+
+    def starts(key, table):
+        rows = sorted(zip(table.column("line_no").to_pylist(), table.column("message").to_pylist()))
+        nos, texts = [r[0] for r in rows], [r[1] for r in rows]
+        first = next((nos[i] for i, t in enumerate(texts) if OBJECT_OPEN.fullmatch(t) and (got := object_fields(texts, i, frequent)) and got[0] < len(texts)), None)
+        return pa.table({"log_stream": [key[0].as_py()], "piece": [nos[0] // CHUNK if first is None else first // CHUNK], "start": pa.array([first], pa.int64())})
+
+    pieces = read.groupBy("log_stream", "piece").agg(F.min(F.when(F.col("ts_us").isNotNull(), F.col("line_no"))).alias("start"), F.bool_or("opens").alias("opens"))
+    pieces = ws.save(pieces, "pieces")
+    bare_pieces = pieces.where("start is null")
+    if bare_pieces.where("opens").limit(1).count():
+        headless = read.join(bare_pieces.select("log_stream", "piece"), ["log_stream", "piece"], "left_semi")
+        wide = headless.select("log_stream", "line_no", "message", F.floor(F.col("piece") / SPAN).alias("wide")).dropDuplicates(["log_stream", "line_no"])
+        more = wide.repartition(width(logs.sparkSession), "log_stream", "wide").groupBy("log_stream", "wide").applyInArrow(starts, "log_stream string, piece bigint, start bigint")
+        more = more.where("start is not null").withColumnRenamed("start", "more")
+        pieces = ws.save(pieces.join(more, ["log_stream", "piece"], "left").select("log_stream", "piece", F.coalesce("start", "more").alias("start")), "pieces")
+    order = Window.partitionBy("log_stream").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    homes = pieces.select("log_stream", "piece", "start", F.last(F.when(F.col("start").isNotNull(), F.col("piece")), True).over(order).alias("before"))
+    homed = read.join(homes, ["log_stream", "piece"]).withColumn("home", F.when(F.col("line_no") >= F.col("start"), F.col("piece")).otherwise(F.coalesce("before", F.lit(-1))))
+
+    def assemble(key, table):
+        stream, rows = key[0].as_py(), {}
+        for row in zip(*(table.column(c).to_pylist() for c in ("line_no", "message", "ts_us", "log_level", "component", "text"))):
+            if row[0] not in rows or row[1] < rows[row[0]][1]:
+                rows[row[0]] = row
+        ordered = [rows[k] for k in sorted(rows)]
+        texts, out, i = [r[1] for r in ordered], [], 0
+        while i < len(ordered):
+            no, text, *found = ordered[i]
+            end = i + 1
+            if OBJECT_OPEN.fullmatch(text) and (got := object_fields(texts, i, frequent)):
+                end, found = got
+            if found[0] is not None:
+                out.append([stream, no, ordered[end - 1][0], *found[:3], [found[3]]])
+            elif out:
+                out[-1][2] = no
+                out[-1][6].append(text)
+            i = end
+        cols = list(zip(*([*r[:6], "\n".join(r[6])] for r in out))) if out else [[]] * len(RECORD)
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, RECORD)], schema=RECORD)
+
+    homed = homed.select("log_stream", "home", "line_no", "message", "ts_us", "log_level", "component", "text")
+    return homed.repartition(width(logs.sparkSession), "log_stream", "home").groupBy("log_stream", "home").applyInArrow(assemble, FIELDS)
+
+
+def _frequent(types: DataFrame, most: int = 20_000) -> dict[str, str]:
+    """Types of keys for objects over several lines, ``most`` at most: keys beyond are judged by their own values."""
+    return {r.key: r.kind for r in types.orderBy("key").limit(most).collect()}

@@ -51,10 +51,48 @@ def test_chunks_give_what_one_piece_gives(spark, monkeypatch):
             lines += ["{", f'  "ts": {T0 // 1000 + i},', '  "severity": "info",', '  "logger": "l",', '  "msg": "o"', "}"]
     whole = parse(spark, lines)
     monkeypatch.setattr(logparse, "CHUNK", 16)
-    monkeypatch.setattr(logparse, "HALO", 8)
     assert parse(spark, lines) == whole and len(whole) == 75
 
 
+@pytest.mark.parametrize("offset", [1, 10, 15, 16, 17, 31, 40])
+def test_long_objects_cross_pieces(spark, monkeypatch, offset):
+    monkeypatch.setattr(logparse, "CHUNK", 16)
+    monkeypatch.setattr(logparse, "SPAN", 8)
+    thing = ["{", f'  "ts": {T0 // 1000},', '  "severity": "info",', '  "logger": "l",', *[f'  "k{i}": {i},' for i in range(700)], '  "msg": "o"', "}"]
+    lines = ["2026-03-03T11:17:42Z  INFO db: a"] * offset + thing + ["tail"] + thing + ["2026-03-03T11:17:42Z  INFO db: z"]
+    got = parse(spark, lines)
+    assert [(a, b, m) for a, b, *_, m in got[offset:]] == [
+        (offset + 1, offset + 707, "o\ntail"), (offset + 708, offset + 713 + 700, "o"), (offset + 1414, offset + 1414, "z"),
+    ] and len(got) == offset + 3
+
+
+def test_streams_of_objects_only(spark, monkeypatch):
+    monkeypatch.setattr(logparse, "CHUNK", 16)
+    monkeypatch.setattr(logparse, "SPAN", 2)
+    thing = lambda i: ["{", f'  "ts": {T0 // 1000 + i},', '  "severity": "info",', '  "logger": "l",', f'  "msg": "o{i}"', "}", "x"]
+    got = parse(spark, [t for i in range(40) for t in thing(i)])
+    assert [(a, b, m) for a, b, *_, m in got] == [(7 * i + 1, 7 * i + 7, f"o{i}\nx") for i in range(40)]
+
+
+def test_the_dictionary_decides(spark, monkeypatch):
+    lines = [f"2026-03-03T11:17:{i:02d}Z  INFO db: m" for i in range(9)] + ["2026-03-03 11:17:42,000 [once] ERROR: seen once"]
+    rows = spark.createDataFrame([("s", i, m, "") for i, m in enumerate(lines)], SCHEMA)
+    assert [r.last_line_no for r in parse_logs(rows, least=3).orderBy("line_no").collect()] == [*range(8), 9]
+    assert parse_logs(rows, least=11).collect() == []
+    monkeypatch.setattr(logparse, "dictionary", lambda lines, least, ws: (spark.createDataFrame([], "head bigint, time int, level int, part int, last int"), spark.createDataFrame([], "key string, kind string")))
+    assert parse_logs(rows, least=1).collect() == []
+
+
+def test_constant_words_are_no_components(spark):
+    lines = [f"2026-03-03T11:17:{i:02d}Z INFO worker {n} [pid {i}]: m" for i, n in enumerate(["alpha", "beta", "gamma", "delta"])]
+    assert [r[4] for r in parse(spark, lines)] == ["alpha", "beta", "gamma", "delta"]
+
+
+def test_long_keys_and_roles_by_type(spark):
+    lines = [f"a_first_key_that_is_far_longer_than_forty_characters_are={i} when=2026-03-03T11:17:42Z weight=info unit=gc text=\"a b {i}\"" for i in range(3)]
+    assert [r[2:] for r in parse(spark, lines)] == [(T0, "INFO", "gc", f"a b {i}") for i in range(3)]
+
+
 def test_empty_repeats_and_nulls(spark):
     rows = [(None, 1, "x", ""), ("s", None, "x", ""), ("s", 1, None, ""), ("s", 2, "2026-03-03T11:17:42Z  INFO db: a", ""), ("s", 2, "2026-03-03T11:17:42Z  INFO db: a", "")]
     assert [r.line_no for r in parse_logs(spark.createDataFrame(rows, SCHEMA), least=1).collect()] == [2]
