@@ -232,8 +232,9 @@ class HashForest:
         A link's weight is the reciprocal of its chance to be met at this depth.
         """
         odds = 1 - F.pow(1 - F.pow("similarity", F.lit(self.depth)), F.lit(TREES))
-        sums = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(1 / odds), F.lit(0.0)).alias("all")).crossJoin(heads.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")))
-        n, every, most = sums.first()
+        links = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(1 / odds), F.lit(0.0)).alias("all"), F.lit(0).alias("most"))
+        ranges = heads.agg(F.lit(0).alias("n"), F.lit(0.0).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+        n, every, most = links.union(ranges).agg(F.sum("n"), F.sum("all"), F.max("most")).first()
         return n, (n + PRIOR) / (every + PRIOR / (1 - missed(self.threshold, self.depth))), most
 
     # -- searching ----------------------------------------------------------------------------------------------------------
