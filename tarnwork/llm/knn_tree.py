@@ -2,7 +2,8 @@
 
 A tree of unit centroids is fitted on a bounded sample and sent to every task. Each vector is indexed under
 its nearest leaf and walks the tree best bin first to a number of further leaves; that number is widened
-on a bounded set of probe vectors, compared with all rows, until the wanted recall is reached.
+on probe vectors that the tree wasn't fitted on, compared with all rows, until the recall is surely reached. Leaves beyond
+BLOCK rows are searched in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tarnwork.runtime import Workspace, spread, width
 
-SAMPLE_ROWS, PROBES, COPIES, FAN, SLACK = 65_536, 192, 8, 32, 5e-5
+SAMPLE_ROWS, PROBES, FAN, SLACK = 262_144, 512, 32, 5e-5
+BLOCK, PART_BYTES = 4096, 8 << 20
 
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,60 +120,67 @@ class Tree:
     def visits(self, x: np.ndarray, n: int) -> np.ndarray:
         """The first n leaves of each vector, best bin first; -1 where the tree has fewer.
 
-        All vectors of the block walk at once: the frontier of each is its priority queue, and the
+        All vectors of the block walk at once. The queue of each holds the nodes it has opened the way to and nothing else, and the
         bins a node opens are scored for every vector that opens it in one product.
         """
-        leaves = [i for i, c in enumerate(self.children) if not len(c)]
-        score = np.full((len(x), len(self.centroid)), -np.inf, dtype=np.float32)
+        m = len(x)
+        nodes, score, used = np.zeros((m, 4 * FAN), dtype=np.int32), np.full((m, 4 * FAN), -np.inf, dtype=np.float32), 1
         score[:, 0] = 2.0
-        out = np.full((len(x), n), -1, dtype=np.int64)
-        got = np.zeros(len(x), dtype=np.int64)
-        leaf = np.zeros(len(self.centroid), dtype=bool)
-        leaf[leaves] = True
-        live = np.arange(len(x))
+        out, got, live = np.full((m, n), -1, dtype=np.int64), np.zeros(m, dtype=np.int64), np.arange(m)
+        inner = np.array([len(c) > 0 for c in self.children])
         while len(live):
-            top = score[live].argmax(axis=1)
-            live, top = live[np.isfinite(score[live, top])], top[np.isfinite(score[live, top])]
+            top = score[live, :used].argmax(axis=1)
+            some = np.isfinite(score[live, top])
+            live, top = live[some], top[some]
+            node = nodes[live, top]
             score[live, top] = -np.inf
-            at_leaf = leaf[top]
-            done = live[at_leaf]
-            out[done, got[done]] = top[at_leaf]
+            done = live[~inner[node]]
+            out[done, got[done]] = node[~inner[node]]
             got[done] += 1
-            for node in np.unique(top[~at_leaf]):
-                rows = live[top == node]
-                kids = self.children[node]
-                score[np.ix_(rows, kids)] = x[rows] @ self.centroid[kids].T + self.gain[kids]
+            wide, node = live[inner[node]], node[inner[node]]
+            if len(wide):
+                if used + FAN > score.shape[1]:
+                    nodes, score = np.hstack([nodes, np.zeros_like(nodes)]), np.hstack([score, np.full_like(score, -np.inf)])
+                for one in np.unique(node):
+                    rows, kids = wide[node == one], self.children[one]
+                    nodes[rows, used : used + len(kids)] = kids
+                    score[rows, used : used + len(kids)] = x[rows] @ self.centroid[kids].T + self.gain[kids]
+                used += FAN
             live = live[got[live] < n]
         return out
 
 
-def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding", dim: int = 64, k: int = 5, floor: float = 0.85, recall: float = 0.985, leaf_rows: int = 256, most_visits: int = 24) -> DataFrame:
+def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding", dim: int = 64, k: int = 5, floor: float = 0.85, recall: float = 0.99, leaf_rows: int = 256) -> DataFrame:
     """``(a, b, similarity)`` with a < b: one of the two is among the k most similar rows of the other and cosine >= floor.
 
     * Null vectors, vectors of another length, zero vectors and vectors with null, NaN or infinite values take no part;
       rows without id neither. A repeated id counts with one of its vectors. An empty table gives an empty result.
-    * Equal directions tie; the smaller id wins. Only the first COPIES rows of one direction are indexed: no other row can need
-      more of them, and the remaining copies get the k smallest ids of their direction by join.
-    * The tree is fitted on at most SAMPLE_ROWS rows; every row is indexed and searched. Visits are widened on
-      PROBES vectors until ``recall`` of their exact partners, found among all rows, is met.
+    * Equal directions (equal bytes at length one) tie; the smaller id wins. Only the first k + 1 rows of one direction are indexed: no other
+      row can need more of them, and the remaining copies get the k smallest ids of their direction by join.
+    * The tree is fitted on at most SAMPLE_ROWS rows, with at least eight of them for each leaf; every row is indexed and searched. Visits are
+      widened, to all leaves if need be, on PROBES other vectors until the lower bound of the share of their exact partners that
+      are met, those found among all rows, reaches ``recall``.
     """
-    spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "knn")
+    spark, ws, copies = docs.sparkSession, Workspace(docs.sparkSession, "knn"), k + 1
     source = spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")))
 
     def direction(batches):
         for batch in batches:
             at, x = unit_rows(batch.column(1), dim)
             x32 = x.astype(np.float32)
-            mark = [xxhash.xxh3_64_intdigest(r.tobytes()) for r in np.round(x, 4).astype(np.float32) + np.float32(0)]
+            mark = [xxhash.xxh3_64_intdigest(r.tobytes()) for r in x32 + np.float32(0)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), pa.array(np.array(mark, dtype=np.uint64).view(np.int64)), pa.array([r.tobytes() for r in x32], pa.binary())],
                 ["id", "mark", "v"],
             )
 
     rows = ws.save(source.mapInArrow(direction, "id bigint, mark bigint, v binary"), "rows")
+    total, ids_ = rows.agg(F.count("*"), F.count_distinct("id")).first()
+    if ids_ < total:
+        rows, total = ws.save(rows.groupBy("id").agg(F.min(F.struct("v", "mark")).alias("r")).select("id", "r.mark", "r.v"), "rows"), ids_
     order = Window.partitionBy("mark").orderBy("id")
-    first = ws.save(rows.select("id", "mark").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= COPIES), "first")
-    crowded = first.where(F.col("n") == COPIES).select("mark")
+    first = ws.save(rows.select("id", "mark").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= copies), "first")
+    crowded = first.where(F.col("n") == copies).select("mark")
     full = crowded.count()
     main = rows.select("id", "v")
     if full:
@@ -179,17 +188,19 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
         over = ws.save(over, "over")
         main = main.join(_small(over, over.count()), "id", "left_anti")
 
-    total = rows.count()
-    matrix = lambda got: np.frombuffer(b"".join(r[0] for r in got), dtype=np.float32).reshape(-1, dim)
-    pick = rows.select("v", F.xxhash64("id").alias("h"))
-    share = min(1.0, SAMPLE_ROWS / max(1, total))
-    sample = matrix(pick.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * SAMPLE_ROWS).collect())[:SAMPLE_ROWS]
+    leaves = max(1, min(total // leaf_rows, SAMPLE_ROWS // 8))
+    wanted = min(total, SAMPLE_ROWS, max(16_384, 16 * leaves))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    cut = int(min(1.0, wanted / max(1, total)) * (1 << 30)) if total > wanted + 4 * PROBES else 1 << 30
+    matrix = lambda got: np.frombuffer(b"".join(r.v for r in got), dtype=np.float32).reshape(-1, dim)
+    sample = matrix(rows.where(place < cut).select("v").limit(2 * SAMPLE_ROWS).collect())
     if not len(sample):
         return spark.createDataFrame([], "a bigint, b bigint, similarity double")
-    tree = Tree(sample, int(min(max(1, total // leaf_rows), max(1, len(sample) // 8))))
+    tree = Tree(sample, int(min(leaves, max(1, len(sample) // 8))))
     shared = spark.sparkContext.broadcast(tree)
-    probes = sample[:: max(1, len(sample) // PROBES)][:PROBES]
-    visits = calibrate(rows, shared, probes, k, floor, recall, most_visits)
+    held = rows.where(place >= cut) if cut < 1 << 30 else rows
+    probes = held.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(PROBES).select("id", "v").collect()
+    visits = calibrate(rows, shared, np.array([r.id for r in probes], dtype=np.int64), matrix(probes), k, floor, recall)
 
     def route(batches):
         for batch in batches:
@@ -207,13 +218,13 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
                 )
 
     def search(table):
-        ids = table.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
+        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
+        order = np.lexsort((ids, ~own))
+        ids, mine = ids[order], int(own.sum())
         x = unpacked(b"".join(table.column("v").to_pylist()), dim)[order]
         a, b, s = [], [], []
-        for i in range(0, len(x), 1024):
-            sims = x[i : i + 1024] @ x.T
+        for i in range(0, mine, 1024):
+            sims = x[i : min(i + 1024, mine)] @ x.T
             r, c = np.nonzero(sims >= floor - SLACK)
             other = ids[i + r] != ids[c]
             r, c = r[other], c[other]
@@ -228,8 +239,22 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": np.concatenate(s) if s else np.zeros(0)})
 
-    routed = main.mapInArrow(route, "leaf int, id bigint, v binary").repartition(width(spark), "leaf")
-    found = routed.groupBy("leaf").applyInArrow(search, "a bigint, b bigint, similarity double")
+    routed = main.mapInArrow(route, "leaf int, id bigint, v binary")
+    parts = max(width(spark), -(-total * visits * (2 * dim + 32) // PART_BYTES))
+    sizes = ws.save(routed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "sizes") if total > leaf_rows * leaves * 2 or total > BLOCK else None
+    crowd = sizes.count() if sizes is not None else 0
+    if crowd:
+        # rows of a large leaf are dealt into blocks; each block as the searching one meets itself and every other block
+        blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
+        dealt = routed.join(_small(sizes, crowd), "leaf", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        asks = dealt.select("leaf", "id", "v", "block", other.alias("there"), F.lit(True).alias("own"))
+        gives = dealt.where("blocks > 1").select("leaf", "id", "v", other.alias("block"), F.col("block").alias("there"), F.lit(False).alias("own")).where("block <> there")
+        routed = asks.union(gives)
+    else:
+        routed = routed.select("leaf", "id", "v", F.lit(0).alias("block"), F.lit(0).alias("there"), F.lit(True).alias("own"))
+    by = ["leaf", "block", "there"]
+    found = routed.repartition(parts, *by).groupBy(*by).applyInArrow(search, "a bigint, b bigint, similarity double")
     found = ws.save(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "found")
 
     def exact(batches):
@@ -241,7 +266,7 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     approx = found
     turned = lambda df: df.union(df.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     by = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    ranked = turned(found).withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + COPIES)
+    ranked = turned(found).withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + copies)
     at = lambda n: F.max(F.when(F.col("n") == n, F.col("similarity"))).over(Window.partitionBy("a"))
     ranked = ranked.withColumns({"last": at(k), "next": at(k + 1)})
     tight = (F.col("last") - F.col("next") <= SLACK) & (F.abs(F.col("similarity") - F.col("last")) <= SLACK)
@@ -270,22 +295,23 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     return out
 
 
-def calibrate(rows: DataFrame, shared, probes: np.ndarray, k: int, floor: float, recall: float, most: int) -> int:
-    """The fewest leaf visits that meet the recall on the probes.
+def calibrate(rows: DataFrame, shared, ids: np.ndarray, probes: np.ndarray, k: int, floor: float, recall: float, sure: float = 1.64) -> int:
+    """The fewest leaf visits whose recall on the probes is above ``recall`` even at its lower confidence bound; all leaves if need be.
 
     A pair is met when the two share a visited leaf. Every row is compared with every probe; the rows above the
     floor come back with the probe they belong to, best k of each task, which is bounded by probes x k x tasks.
     """
+    dim = probes.shape[1]
 
     def run(batches):
         held = []
         for batch in batches:
-            blob = batch.column(0).to_pylist()
+            blob = batch.column(1).to_pylist()
             if not blob:
                 continue
-            x = np.frombuffer(b"".join(blob), dtype=np.float32).reshape(-1, probes.shape[1])
+            x = np.frombuffer(b"".join(blob), dtype=np.float32).reshape(-1, dim)
             sims = x @ probes.T
-            r, c = np.nonzero((sims >= floor) & (sims < 0.99999))
+            r, c = np.nonzero((sims >= floor) & (batch.column(0).to_numpy()[:, None] != ids[None, :]))
             held.append((c, sims[r, c], x[r]))
         if held:
             c, s, x = (np.concatenate(z) for z in zip(*held))
@@ -294,15 +320,17 @@ def calibrate(rows: DataFrame, shared, probes: np.ndarray, k: int, floor: float,
             near = np.arange(len(c)) - np.searchsorted(c, c) < k
             yield pa.RecordBatch.from_arrays([pa.array(c[near].astype(np.int32)), pa.array(s[near]), pa.array([v.tobytes() for v in x[near]], pa.binary())], ["p", "s", "v"])
 
-    got = rows.select("v").mapInArrow(run, "p int, s float, v binary")
+    got = rows.select("id", "v").mapInArrow(run, "p int, s float, v binary")
     got = got.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("s")))).where(F.col("n") <= k).select("p", "v").collect()
     if not got:
         return 2
-    tree = shared.value
-    mine = tree.visits(probes[[r[0] for r in got]], most)
-    theirs = tree.visits(np.frombuffer(b"".join(r[1] for r in got), dtype=np.float32).reshape(-1, probes.shape[1]), most)
-    for n in range(2, most):
-        met = [bool(np.intersect1d(a[:n][a[:n] >= 0], b[:n]).size) for a, b in zip(mine, theirs)]
-        if np.mean(met) >= recall:
-            return n
-    return most
+    tree, leaves = shared.value, sum(not len(c) for c in shared.value.children)
+    theirs_ = np.frombuffer(b"".join(r[1] for r in got), dtype=np.float32).reshape(-1, dim)
+    most, n = 8, 2
+    while True:
+        mine, theirs = tree.visits(probes[[r[0] for r in got]], most), tree.visits(theirs_, most)
+        for n in range(n, most + 1):
+            met = np.mean([bool(np.intersect1d(a[:n][a[:n] >= 0], b[:n]).size) for a, b in zip(mine, theirs)])
+            if met - sure * np.sqrt(met * (1 - met) / len(got)) >= recall or n >= leaves:
+                return n
+        most = min(2 * most, max(leaves, 2))
