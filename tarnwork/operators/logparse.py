@@ -60,6 +60,8 @@ OBJECT_BODY = re.compile(r'\s+(?:"(?:[^"\\]|\\.)*"\s*:\s*\S.*|[\]}]\s*,?\s*)$|\s
 
 def micros(text: str) -> int | None:
     """Microseconds since 1970 of any time the tokenizer accepts; without zone UTC, without year YEAR."""
+    if not 10 <= len(text) <= 48 or not text[-1].isalnum() or " " not in text and not text[:4].isdigit():
+        return None
     try:
         if text.isdigit() and len(text) == 13:
             return int(text) * 1000
@@ -160,6 +162,30 @@ def scan_pairs(line: str) -> dict[tuple[str, ...], str]:
     return out
 
 
+def first_pairs(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    """A decoded object in which the first value of a key counts."""
+    out: dict[str, object] = {}
+    for k, v in pairs:
+        out.setdefault(k, v)
+    return out
+
+
+DECODER = json.JSONDecoder(object_pairs_hook=first_pairs, parse_float=str, parse_int=str, parse_constant=str, strict=False)
+WORDS = {True: "true", False: "false", None: "null"}
+
+
+def flat(value: dict, path: tuple[str, ...] = ()) -> dict[tuple[str, ...], str]:
+    """Scalar fields of a decoded object by path, without those inside lists."""
+    out: dict[tuple[str, ...], str] = {}
+    for k, v in value.items():
+        if isinstance(v, dict):
+            for p, x in flat(v, (*path, k)).items():
+                out.setdefault(p, x)
+        elif not isinstance(v, list):
+            out.setdefault((*path, k), v if isinstance(v, str) else WORDS[v])
+    return out
+
+
 STRING = re.compile(r'"((?:[^"\\]|\\.)*)"')
 SCALAR = re.compile(r"[^\s,{}\[\]\"]+")
 
@@ -223,7 +249,13 @@ def scan_object(text: str) -> dict[tuple[str, ...], str]:
 
 def named_fields(line: str) -> dict[tuple[str, ...], str] | None:
     """The fields of a line made of named fields, at least three; None for any other line."""
-    found = scan_object(line) if line[0] == "{" else scan_pairs(line) if PAIR.match(line) else {}
+    if line[0] == "{":
+        try:
+            found = flat(DECODER.raw_decode(line)[0])
+        except (ValueError, RecursionError):
+            found = scan_object(line)
+    else:
+        found = scan_pairs(line) if PAIR.match(line) else {}
     return found if len(found) > 2 else None
 
 
