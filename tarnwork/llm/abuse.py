@@ -23,7 +23,7 @@ SLOTS = 1 << 18
 GRADES = 3
 LABELLED = 8_000
 LONG, WINDOW, STEP = 18, 12, 6
-CUTOFF = 0.35
+CUTOFF, BLOCK = 0.35, 256
 
 SPLIT = re.compile(r"(?:[.!?…]+[\"'»”)]*\s+)|\n+\s*(?:[-*>#]+\s+|\d+\.\s+)*")
 # Characters that stand in for letters.
@@ -34,18 +34,24 @@ MASKED = re.compile(r"([^\W\d_])([*#•_\-]{2,}|[*#•])([^\W\d_]*)")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
-@lru_cache(maxsize=200_000)
-def slot(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % SLOTS
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Scrambled 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def number(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass"))
 
 
 def plain(text: str) -> str:
     """Lower case without accents, invisible characters or look-alike letters; compatible forms folded."""
+    if text.isascii():
+        return text.lower()
     text = INVISIBLE.sub("", unicodedata.normalize("NFKD", text))
     return "".join(c for c in text if not unicodedata.combining(c)).lower().translate(LOOKALIKE)
 
 
-@lru_cache(maxsize=100_000)
 def word_forms(token: str) -> tuple[str, tuple[str, ...]]:
     """The word a token most likely spells, and names of its own features."""
     marks = []
@@ -62,7 +68,7 @@ def word_forms(token: str) -> tuple[str, tuple[str, ...]]:
         elif not any(c.isalpha() for c in token):
             return "<n>", ()
     word = re.sub(r"([^\W\d_])\1{2,}", r"\1", word)
-    grams = tuple(f"c:{p[i : i + 4]}" for p in (f"<{word[:24]}>",) for i in range(len(p) - 3)) if len(word) > 3 else ()
+    grams = tuple(f"c:{p[i : i + 4]}" for p in (f"<{word}>",) for i in range(len(p) - 3)) if len(word) > 3 else ()
     return word, (*marks, *grams)
 
 
@@ -79,26 +85,73 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-def features(sentence: str) -> np.ndarray:
-    """Distinct hashed features of a sentence: words, their pairs and character pieces."""
-    tokens = TOKEN.findall(plain(sentence))
+KEPT = 64
+
+
+@lru_cache(maxsize=200_000)
+def _known(token: str) -> tuple[int, tuple[int, ...]]:
+    word, own = word_forms(token)
+    return number(word), tuple(number(f) % SLOTS for f in dict.fromkeys(own))
+
+
+def token_numbers(token: str) -> tuple[int, tuple[int, ...]]:
+    """The number of the word a token spells and the slots of its own features; short tokens are remembered."""
+    return _known(token) if len(token) <= KEPT else _known.__wrapped__(token)
+
+
+def spelt(sentence: str) -> list[str]:
+    """Tokens of a sentence in plain letters; letters set apart by spaces are one word."""
     run, joined = [], []
-    for t in [*tokens, "##"]:  # letters set apart by spaces are one word
+    for t in TOKEN.findall(plain(sentence)):
         if len(t) == 1 and t.isalpha():
             run.append(t)
             continue
-        joined += ["".join(run)] if len(run) > 3 else run
-        run = []
+        if run:
+            joined += ["".join(run)] if len(run) > 3 else run
+            run = []
         joined.append(t)
-    names, words = {"bias"}, []
-    for t in joined[:-1]:
-        word, own = word_forms(t)
-        words.append(word)
-        names.update(own)
-    names.update(f"w:{w}" for w in words)
-    names.update(f"b:{a} {b}" for a, b in zip(["^", *words], [*words, "$"]))
-    names.update(f"s:{a} {b}" for a, b in zip(words, words[2:]))
-    return np.array([slot(n) for n in names], dtype=np.int32)
+    if run:
+        joined += ["".join(run)] if len(run) > 3 else run
+    return joined
+
+
+START, END, BIAS = number("^"), number("$"), number("bias") % SLOTS
+
+
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, sentence of each slot, text of each sentence) of all sentences of some texts.
+
+    A sentence has the distinct hashed features of its words, of pairs of neighbours and next neighbours, of the words' character
+    pieces and marks, and one that all share.
+    """
+    words, size, own, pieces, text_of = [], [], [], [], []
+    for i, text in enumerate(texts):
+        for s in sentences(text):
+            before, n = len(own), 2
+            words.append(START)
+            for t in spelt(s):
+                word, slots = token_numbers(t)
+                words.append(word)
+                own.extend(slots)
+                n += 1
+            words.append(END)
+            size.append(n)
+            pieces.append(len(own) - before)
+            text_of.append(i)
+    if not size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    w, at = np.array(words, dtype=np.uint64), np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+    real = (place > 0) & (place < np.repeat(size, size) - 1)
+    one = mixed(w + np.uint64(1 << 40))
+    near, far = at[1:] == at[:-1], (at[2:] == at[:-2]) & real[2:] & real[:-2]
+    two = mixed(one[:-1] * np.uint64(3) + one[1:])
+    three = mixed(one[:-2] * np.uint64(5) + one[2:])
+    where = [at[real], at[:-1][near], at[:-2][far], np.repeat(np.arange(len(size)), pieces), np.arange(len(size))]
+    slot = [(x % np.uint64(SLOTS)).astype(np.int64) for x in (one[real], two[near], three[far])] + [np.array(own, dtype=np.int64), np.full(len(size), BIAS)]
+    key = np.sort(np.concatenate(where) * SLOTS + np.concatenate(slot))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return key % SLOTS, key // SLOTS, np.array(text_of)
 
 
 class Ordinal:
@@ -107,17 +160,18 @@ class Ordinal:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
-    def score(self, text: str | None) -> float:
-        """The score of the worst sentence; texts without any have minus infinity."""
-        return max((self.sentence(s) for s in sentences(text)), default=-np.inf)
-
-    def sentence(self, s: str) -> float:
-        f = features(s)
-        return float(self.weights[f].sum() / np.sqrt(len(f)))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The score of each text's worst sentence; texts without any have minus infinity."""
+        slot, sentence, text = features(texts)
+        out = np.full(len(texts), -np.inf)
+        if len(slot):
+            z = np.bincount(sentence, self.weights[slot], len(text)) / np.sqrt(np.bincount(sentence, minlength=len(text)))
+            np.maximum.at(out, text, z)
+        return out
 
-    def reach(self, score: float) -> np.ndarray:
-        """Probability of each grade from 1 up, or a higher one."""
-        return 1 / (1 + np.exp(np.clip(self.thresholds - score, -50, 50)))
+    def reach(self, scores: np.ndarray) -> np.ndarray:
+        """Probability of each grade from 1 up, or a higher one, for each score."""
+        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
 def fit(texts: list[str | None], grades: np.ndarray, rounds: int = 130, ridge: float = 2e-5, seed: int = 8) -> Ordinal:
@@ -125,17 +179,12 @@ def fit(texts: list[str | None], grades: np.ndarray, rounds: int = 130, ridge: f
 
     Without any text, or with one grade only, the model scores everything alike.
     """
-    feats, doc = [], []
-    for i, t in enumerate(texts):
-        for s in sentences(t):
-            feats.append(features(s))
-            doc.append(i)
-    if not feats or len(set((grades > 0).tolist())) < 2:
+    flat, own, doc = features(texts)
+    if not len(flat) or len(set((grades > 0).tolist())) < 2:
         return Ordinal(np.zeros(SLOTS, np.float32), np.full(GRADES - 1, 20.0 * (not len(grades) or grades.max() == 0) - 10.0))
     kept, doc = np.unique(doc, return_inverse=True)
-    y = grades[kept]
-    n = np.array([len(f) for f in feats])
-    flat, own = np.concatenate(feats), np.repeat(np.arange(len(feats)), n)
+    y, many = grades[kept], len(doc)
+    n = np.bincount(own, minlength=many)
     value = (1 / np.sqrt(n))[own]
     used, col = np.unique(flat, return_inverse=True)
     w, theta = np.zeros(len(used)), np.array([0.0, 1.0])
@@ -143,7 +192,7 @@ def fit(texts: list[str | None], grades: np.ndarray, rounds: int = 130, ridge: f
     starts = np.searchsorted(doc, np.arange(len(kept)))
     for r in range(rounds):
         hard = 0.5 + 5.5 * min(1.0, r / (rounds * 0.6))
-        z = np.bincount(own, w[col] * value, minlength=len(feats))
+        z = np.bincount(own, w[col] * value, minlength=many)
         top = np.maximum.reduceat(z, starts)
         e = np.exp(hard * (z - top[doc]))
         share = e / np.add.reduceat(e, starts)[doc]
@@ -191,9 +240,10 @@ def scored(docs: DataFrame, model: Ordinal, keep: tuple[str, ...] = ("doc_id",))
 
     def run(batches):
         for batch in batches:
-            marks = [shared.value.reach(shared.value.score(t)) for t in batch.column(len(keep)).to_pylist()]
-            level = np.array(marks, dtype=np.float64).reshape(-1, GRADES - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(level.sum(axis=1)), pa.array(level[:, 0])], [*keep, "severity", "chance"])
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                level = shared.value.reach(shared.value.scores(part.column(len(keep)).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(level.sum(axis=1)), pa.array(level[:, 0].copy())], [*keep, "severity", "chance"])
 
     kinds = dict(docs.dtypes)
     return spread(docs.select(*keep, "text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", severity double, chance double")
