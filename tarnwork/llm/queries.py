@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tarnwork.llm import abuse, hash_forest, knn_tree, mixture, near_groups, stable_sample, tokens
 from tarnwork.runtime import load
 
@@ -27,12 +29,32 @@ def p6_ids(spark, sf):
     return tokens.encode(load(spark, sf, "documents"))
 
 
+def p6_decoded(spark, sf):
+    return tokens.decode(tokens.encode(load(spark, sf, "documents")))
+
+
+def p6_offsets(spark, sf):
+    """Where the tokens of each text end and how many there are: the last end is the text's length."""
+    found = tokens.encode_with_offsets(load(spark, sf, "documents"))
+    whole = F.forall(F.zip_with("starts", "ends", lambda a, b: b > a), lambda x: x)
+    return found.select("doc_id", F.coalesce(F.get("starts", F.lit(0)), F.lit(0)).alias("first"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("last"), whole.alias("whole"))
+
+
+# Domains of the sources: where people talk to each other, and what is written to be looked up.
+TALK = dict.fromkeys(["issue_tracker", "forum", "chat", "mailing_list"], "talk")
+DOMAINS = TALK | dict.fromkeys(["release_notes", "runbook", "design_doc", "benchmark_report", "glossary"], "reference")
+
+
+def _mixture(spark, sf):
+    return mixture.Mixture(load(spark, sf, "documents"), load(spark, sf, "mix_target"), domain_of=DOMAINS)
+
+
 def p7_mix(spark, sf):
-    return mixture.Mixture(load(spark, sf, "documents"), load(spark, sf, "mix_target")).documents()
+    return _mixture(spark, sf).documents()
 
 
 def p7_shares(spark, sf):
-    return mixture.Mixture(load(spark, sf, "documents"), load(spark, sf, "mix_target")).shares()
+    return _mixture(spark, sf).shares()
 
 
 def _marked(spark, sf, *keep):
@@ -53,7 +75,7 @@ def p8_rates(spark, sf):
 
 
 def queries():
-    found = (p1_found, p3_found, p4_sample, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    found = (p1_found, p3_found, p4_sample, p5_found, p6_ids, p6_decoded, p6_offsets, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in found}
 
 
@@ -70,4 +92,6 @@ SELECT CAST(min(m) AS BIGINT) AS group_id, CAST(id AS BIGINT) AS id FROM r GROUP
 
 
 def oracle_sql():
-    return {"p4_sample": stable_sample.oracle(), "p5_found": GROUPS}
+    decoded = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+    spans = "SELECT doc_id, CAST(0 AS INT) AS first, CAST(length(coalesce(text, '')) AS INT) AS last, true AS whole FROM documents"
+    return {"p4_sample": stable_sample.oracle(), "p5_found": GROUPS, "p6_decoded": decoded, "p6_offsets": spans}

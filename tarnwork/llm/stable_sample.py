@@ -2,42 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.operators.hash_prefix import priority, running_totals
 from tarnwork.runtime import Workspace
+from tarnwork.sources.manifest import Manifest
 
 FRACTION = 0.1
 
 
 class SelectionLedger:
-    """Keys seen and selected so far under each seed, one written table for each tag.
+    """Keys seen and selected so far under each seed, as tables below ``path`` that its manifest names.
 
     ``take`` keeps every key of the ledger that the new export still has and fills the rest of the quota,
     ceil(fraction x distinct keys), from keys never seen before, lowest priority first; seen keys
-    that were not selected follow only when the unseen ones run out.
+    that were not selected follow only when the unseen ones run out. A later session opens the ledger by its path and goes on; a
+    draw that fails half-way leaves it as it was. Without ``path`` it lies in a fresh folder of the shared folder.
     """
 
-    def __init__(self, spark):
-        self.ws = Workspace(spark, "ledger")
-        self.past: dict[str, DataFrame] = {}
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.ws = spark, Workspace(spark, "ledger")
+        self.path = (path or f"{self.ws.root}-state").rstrip("/")
+        self.manifest = Manifest(spark, self.path, {"serial": 0, "past": {}, "draws": {}})
 
-    def take(self, keys: DataFrame, seed, fraction: float = FRACTION) -> DataFrame:
+    def _keep(self, df: DataFrame, name: str) -> str:
+        self.manifest.state["serial"] += 1
+        folder = f"{name}-{self.manifest.state['serial']:06d}-{self.ws.root[-12:]}"
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _past(self, seed: str) -> DataFrame | None:
+        folder = self.manifest.state["past"].get(seed)
+        return folder and self.spark.read.schema("primary_key string, selected boolean").parquet(f"{self.path}/{folder}")
+
+    def drawn(self, draw: str) -> DataFrame:
+        """The sample of an earlier draw."""
+        return self.spark.read.schema("primary_key string, priority string, position bigint").parquet(f"{self.path}/{self.manifest.state['draws'][draw]}")
+
+    def take(self, keys: DataFrame, seed, fraction: float = FRACTION, draw: str | None = None) -> DataFrame:
         """``(primary_key, priority, position)`` of the sample of the keys; position counts from 1.
 
         Null keys are left out, repeated rows of a key count once, an empty export gives an empty sample.
-        A null seed counts as 0.
+        A null seed counts as 0. A ``draw`` of a name known to the ledger gives what it gave before and changes nothing.
         """
+        state, ws = self.manifest.state, Workspace(self.spark, "draw")
+        if draw in state["draws"]:
+            return self.drawn(draw)
         seed = 0 if seed is None else seed
-        name = str(seed)
+        name, past = str(seed), self._past(str(seed))
         now = keys.where("primary_key is not null").select("primary_key").distinct().withColumn("priority", priority(seed, F.col("primary_key")))
-        if name in self.past:
-            now = now.join(self.past[name], "primary_key", "left")
-        else:
-            now = now.withColumn("selected", F.lit(None).cast("boolean"))
+        now = now.join(past, "primary_key", "left") if past is not None else now.withColumn("selected", F.lit(None).cast("boolean"))
         rank = F.when(F.col("selected"), "0").when(F.col("selected").isNull(), "1").otherwise("2")
-        now = self.ws.save(now.select("primary_key", "priority", rank.alias("class"), F.lit(1).alias("one")), "now")
+        now = ws.save(now.select("primary_key", "priority", rank.alias("class"), F.lit(1).alias("one")), "now")
         size = {r[0]: r[1] for r in now.groupBy("class").count().collect()}
         total, kept = sum(size.values()), size.get("0", 0)
         left = max(0, -int(-(round(fraction * total, 9)) // 1) - kept)
@@ -46,32 +63,40 @@ class SelectionLedger:
         ranked = running_totals(now.where("class <> '0'"), "class", "priority", "primary_key", "one")
         chosen = now.where("class = '0'").select("primary_key", "priority").union(ranked.where(F.col("before") < limit).select("primary_key", "priority"))
         placed = running_totals(chosen.withColumns({"all": F.lit("a"), "one": F.lit(1)}), "all", "priority", "primary_key", "one")
-        out = self.ws.save(placed.select("primary_key", "priority", (F.col("before") + 1).cast("bigint").alias("position")), "taken")
-        state = now.select("primary_key").join(out.select("primary_key", F.lit(True).alias("hit")), "primary_key", "left")
-        state = state.select("primary_key", F.coalesce("hit", F.lit(False)).alias("selected"))
-        if name in self.past:
-            state = self.past[name].unionByName(state).groupBy("primary_key").agg(F.bool_or("selected").alias("selected"))
-        old = self.past.get(name)
-        self.past[name] = self.ws.save(state, "ledger")
-        self.ws.drop(now, *([old] if old is not None else []))
+        state["draws"][draw or f"draw {state['serial']}"] = folder = self._keep(placed.select("primary_key", "priority", (F.col("before") + 1).cast("bigint").alias("position")), "draw")
+        out = self.spark.read.schema("primary_key string, priority string, position bigint").parquet(f"{self.path}/{folder}")
+        seen = now.select("primary_key").join(out.select("primary_key", F.lit(True).alias("hit")), "primary_key", "left")
+        seen = seen.select("primary_key", F.coalesce("hit", F.lit(False)).alias("selected"))
+        if past is not None:
+            seen = past.unionByName(seen).groupBy("primary_key").agg(F.bool_or("selected").alias("selected"))
+        old, state["past"][name] = state["past"].get(name), self._keep(seen, "past")
+        self.manifest.publish()
+        ws.drop_all()
+        if old:
+            self.manifest.files.delete(f"{self.path}/{old}")
         return out
 
 
-def tag_samples(exported: DataFrame, tags: DataFrame, prefix: str = "docs_", fraction: float = FRACTION) -> DataFrame:
+def tag_samples(exported: DataFrame, tags: DataFrame, prefix: str = "docs_", fraction: float = FRACTION, path: str | None = None) -> DataFrame:
     """``(tag_name, primary_key, position)`` of the sample of each training tag whose name begins with ``prefix``.
 
     Tags are taken by created_at, then name; those sharing a seed share a ledger. Position is null unless the tag's
-    deterministic_order is true. Tags not for training, null tags and tags without rows have no sample.
+    deterministic_order is true. Tags not for training, null tags and tags without rows have no sample. With ``path`` the ledger there
+    goes on: tags it knows keep their sample, only new ones are drawn.
     """
     spark = exported.sparkSession
-    ledger, parts = SelectionLedger(spark), []
+    ledger, parts = SelectionLedger(spark, path), []
     wanted = tags.where(F.col("for_training") & F.col("tag_name").startswith(prefix)).select("tag_name", "seed", "deterministic_order", "created_at")
-    for tag in wanted.dropDuplicates(["tag_name"]).orderBy(F.asc_nulls_last("created_at"), "tag_name").collect():
-        rows = exported.where(F.col("tag_name") == tag.tag_name).select("primary_key")
+    wanted = wanted.dropDuplicates(["tag_name"]).orderBy(F.asc_nulls_last("created_at"), "tag_name").collect()
+    keys = exported.where(F.col("tag_name").isin([t.tag_name for t in wanted]) & F.col("primary_key").isNotNull()).select("tag_name", "primary_key").distinct()
+    keys = ledger.ws.save(keys, "keys", by=["tag_name"]) if wanted else keys
+    for tag in wanted:
+        rows = keys.where(F.col("tag_name") == tag.tag_name).select("primary_key")
         place = F.col("position") if tag.deterministic_order else F.lit(None).cast("bigint")
-        parts.append(ledger.take(rows, tag.seed, fraction).select(F.lit(tag.tag_name).alias("tag_name"), "primary_key", place.alias("position")))
+        parts.append(ledger.take(rows, tag.seed, fraction, tag.tag_name).select(F.lit(tag.tag_name).alias("tag_name"), "primary_key", place.alias("position")))
     if not parts:
         return spark.createDataFrame([], "tag_name string, primary_key string, position bigint")
+    ledger.ws.drop(keys)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

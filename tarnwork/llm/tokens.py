@@ -86,6 +86,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
+def encode_with_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """``(id_col, ids, starts, ends)``: like :func:`encode`, with the code points [start, end) that each token touches."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                texts = part.column(1).to_pylist()
+                ids = encode_texts(texts, path)
+                spans = [offsets(t or "", x, path) for t, x in zip(texts, ids)]
+                lists = [pa.array(c, pa.list_(pa.int32())) for c in (ids, [[s for s, _ in x] for x in spans], [[e for _, e in x] for x in spans])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], [id_col, "ids", "starts", "ends"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, starts array<int>, ends array<int>")
+
+
 def counts(docs: DataFrame, keep: list[str], text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """The columns ``keep`` and ``tokens``, the length of the encoding; the ids themselves stay in the task."""
 
