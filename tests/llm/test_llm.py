@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tarnwork.llm import abuse, hash_forest, knn_tree, mixture, near_groups, stable_sample, tokens
+from tarnwork.llm import abuse, hash_forest, knn_tree, mixture, near_groups, shingles, stable_sample, tokens
 from tarnwork.llm.shingles import jaccard, normal, trigrams
 
 
@@ -64,14 +65,112 @@ def test_near_duplicates_of_nothing_and_repeated_rows(spark):
 
 
 def test_estimate_is_close():
-    a, b = (trigrams("".join(np.random.default_rng(s).choice(list("abcdefgh"), 400))) for s in (1, 2))
-    both = np.union1d(a, b)
-    assert near_groups.estimate(near_groups.registers(a), near_groups.registers(a), len(a), len(a)) == 1
-    assert abs(near_groups.estimate(near_groups.registers(a), near_groups.registers(both), len(a), len(both)) - jaccard(a, both)) < 0.15
-
-
-def test_prefixes_widen():
-    assert hash_forest.prefix_depth(0.8, 0.9999)[0] <= 5 and hash_forest.prefix_depth(0.95, 0.9)[0] == hash_forest.DEPTH
+    draw = lambda s: "".join(np.random.default_rng(s).choice(list("abcdefgh"), 400))
+    texts = [draw(1), draw(2), draw(1) + draw(2), draw(1)[:60]]
+    sets, (size, slots) = [trigrams(t) for t in texts], shingles.signatures(texts, near_groups.PASSES)
+    regs = near_groups.registers(slots)
+    assert [len(s) for s in sets] == size.tolist()
+    assert near_groups.estimate(regs[0], regs[0], size[0], size[0]) == 1
+    for i, j in [(0, 2), (0, 1), (0, 3)]:
+        assert abs(near_groups.estimate(regs[i], regs[j], size[i], size[j]) - jaccard(sets[i], sets[j])) < 0.15
+
+
+def test_signatures_do_not_depend_on_the_block():
+    texts = ["".join(np.random.default_rng(s).choice(list("abcdefgh "), 50 + 40 * s)) for s in range(30)]
+    whole = shingles.signatures(texts, 2)[1]
+    assert all((shingles.signatures([t], 2)[1][0] == whole[i]).all() for i, t in enumerate(texts))
+
+
+def family(n, first=1, word="w"):
+    """n texts that differ in one number only; any two are nearly the same."""
+    base = " ".join(f"{word}{i:03d}" for i in range(40))
+    return [(first + i, f"{base} {i:05d}", "", None) for i in range(n)]
+
+
+def test_a_hot_bucket_is_not_paired(spark):
+    docs = family(400) + [(9000, " ".join(f"z{i:03d}" for i in range(40)), "", None)]
+    table = spark.createDataFrame(docs, SCHEMA)
+    assert {tuple(r) for r in near_groups.near_groups(table).collect()} == {(1, i) for i in range(1, 401)}
+
+
+def test_crossing_pairs_members_outside_the_largest_component_only(spark):
+    n = 20_000
+    placed = spark.range(1, n + 2).select(F.lit(7).cast("bigint").alias("key"), "id", F.lit(100).alias("size"), F.lit(1).cast("bigint").alias("f"), F.lit(1).cast("bigint").alias("g"))
+    comps = spark.range(1, n + 1).select("id", F.lit(1).cast("bigint").alias("comp"))
+    pairs = near_groups.crossing(placed, comps, 0.8)
+    got = pairs.agg(F.count("*"), F.min("b"), F.max("b")).first()
+    assert tuple(got) == (n, n + 1, n + 1)
+
+
+def numbered(rows, batch):
+    return [(i, t, x, batch) for i, t, x, _ in rows]
+
+
+def test_forest_with_hot_ranges(spark):
+    rows = numbered(family(60), 0) + numbered(family(60, 100), 1) + numbered(family(60, 300, "v"), 1) + numbered(family(30, 500, "v"), 2)
+    want = {(1, i) for i in range(100, 160)} | {(300, i) for i in range(301, 360)} | {(300, i) for i in range(500, 530)}
+    assert {tuple(r) for r in hash_forest.repeats(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_rounds_within_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(hash_forest, "FIRST", 2)
+    monkeypatch.setattr(hash_forest, "STEP", 2)
+    monkeypatch.setattr(hash_forest, "ONE_TASK", 3)
+    rows = make_texts(120, 5)
+    assert {tuple(r) for r in hash_forest.repeats(spark.createDataFrame(rows, SCHEMA)).collect()} == truth(rows)[1]
+
+
+def test_forest_without_seed_and_empty_batches(spark):
+    forest = hash_forest.HashForest(spark)
+    batch = spark.createDataFrame(family(3) + [(7, None, "", None), (None, "x" * 60, "", None)], SCHEMA)
+    assert forest.check(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert {tuple(r) for r in forest.check(batch).collect()} == {(1, 2), (1, 3)}
+    assert forest.check(batch).collect() == [] or {tuple(r) for r in forest.check(batch).collect()} == {(1, 2), (1, 3)}
+    assert sum(r["rows"] for r in forest.state["runs"]) == 1
+    forest.close()
+
+
+def test_forest_reopens_and_reads_what_it_needs(spark, tmp_path):
+    path = f"{tmp_path}/forest"
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(12))
+    read, first = [], [(i, text(), "", 0) for i in range(300)]
+    forest = hash_forest.HashForest(spark, path, rows_per_file=64)
+    forest.seed(spark.createDataFrame(first, SCHEMA))
+    for turn in range(2):
+        again = hash_forest.HashForest(spark, path, rows_per_file=64)  # as another session would
+        again.ask_from = 0
+        got = again.check(spark.createDataFrame([(10_000 + turn, first[5][1] + "!", "", 1)], SCHEMA)).collect()
+        assert [tuple(r) for r in got] == [(5, 10_000 + turn)]
+        read.append((again.files_read["keys"], again.files_read["texts"]))
+        again.seed(spark.createDataFrame([(20_000 * (turn + 1) + i, text(), "", 0) for i in range(600)], SCHEMA))
+    every = sum(len(r["keys"]["files"]) for r in again.state["runs"])
+    assert read[1][0] <= 2 * hash_forest.TREES + 8 < every and read[1][1] <= 2
+    assert len(again.state["batches"]) == 5 and all(r["dir"] for run in again.state["runs"] for r in (run["keys"], run["texts"]))
+
+
+def test_prefixes_widen(spark):
+    forest = hash_forest.HashForest(spark)
+    assert forest.depth < hash_forest.DEPTH and forest.state["recall"] >= 0.9999
+    assert hash_forest.HashForest(spark, threshold=0.97, target=0.9).depth == hash_forest.DEPTH
+
+
+def test_every_pair_of_many_copies(spark):
+    rng = np.random.default_rng(2)
+    one = rng.standard_normal(64).astype(np.float32).tolist()
+    rows = [(i, one) for i in range(20)] + [(100 + i, rng.standard_normal(64).astype(np.float32).tolist()) for i in range(50)]
+    got = [(r.a, r.b) for r in knn_tree.nearest(spark.createDataFrame(rows, "pk bigint, embedding array<float>"), k=15).collect()]
+    assert len(got) == len(set(got)) and all(sum(i in p for p in got) >= 15 for i in range(20)) and len(got) == 120 + 60
+
+
+def test_large_leaves_are_searched_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(64)
+    rows = [(i, (base + 0.3 * rng.standard_normal(64)).astype(np.float32).tolist()) for i in range(300)] + [(5, base.astype(np.float32).tolist())]
+    table = spark.createDataFrame(rows, "pk bigint, embedding array<float>")
+    plain = {(r.a, r.b) for r in knn_tree.nearest(table, leaf_rows=1000).collect()}
+    monkeypatch.setattr(knn_tree, "BLOCK", 64)
+    assert {(r.a, r.b) for r in knn_tree.nearest(table, leaf_rows=1000).collect()} == plain and len(plain) > 600
 
 
 def test_nearest_vectors(spark):
@@ -109,6 +208,17 @@ def test_sample_is_stable(spark):
     assert stable_sample.tag_samples(spark.createDataFrame([], "tag_name string, primary_key string"), tags).collect() == []
 
 
+def test_ledger_reopens(spark, tmp_path):
+    keys = lambda *spans: spark.createDataFrame([(f"docs:{i}",) for a, b in spans for i in range(a, b)], "primary_key string")
+    names = lambda df: {r.primary_key for r in df.collect()}
+    first = names(stable_sample.SelectionLedger(spark, f"{tmp_path}/l").take(keys((0, 100)), 3, draw="a"))
+    again = stable_sample.SelectionLedger(spark, f"{tmp_path}/l")  # as another session would
+    assert names(again.take(keys((0, 5)), 3, draw="a")) == first
+    second = names(again.take(keys((0, 300)), 3, draw="b"))
+    assert len(first) == 10 and first < second and len(second) == 30
+    assert names(stable_sample.SelectionLedger(spark, f"{tmp_path}/l").drawn("b")) == second
+
+
 @pytest.mark.parametrize("text", ["", "plain words", "Müller 😀 café <|endoftext|>\n\tx", "データ" * 50, "a" * 20_000])
 def test_tokens_round_trip(text):
     ids = tokens.encode_texts([text], tokens.VOCABULARY)[0]
@@ -123,6 +233,13 @@ def test_encode_rows(spark):
     assert got[2] == [] and got[None] == [] and tokens.decode_ids(got[1], tokens.VOCABULARY) == "hello"
 
 
+def test_offsets_rows(spark):
+    docs = spark.createDataFrame([(1, "h\u00e9llo \U0001f600", "x"), (2, None, "x"), (None, "", "x")], "doc_id bigint, text string, ids string")
+    got = {r.doc_id: r for r in tokens.encode_with_offsets(docs).collect()}
+    assert got[2].ids == got[2].starts == [] and got[None].ends == [] and got[1].starts[0] == 0 and got[1].ends[-1] == 7
+    assert len(got[1].ids) == len(got[1].starts) == len(got[1].ends)
+
+
 def test_budgets():
     tree = {"d": {"en": {"a": {}, "b": {}}, "de": {"c": {}}}, "e": {"en": {"x": {}}}}
     room = {("d", "en", "a"): 10, ("d", "en", "b"): 100, ("d", "de", "c"): 100, ("e", "en", "x"): 100}
@@ -165,4 +282,11 @@ def test_abuse_held_out(spark):
 
 @pytest.mark.parametrize(("a", "b"), [("1d107", "idiot"), ("i d i o t s", "idiots"), ("idiooooot", "idiot"), ("іdіоt", "idiot"), ("IDIOT", "idiot")])
 def test_odd_spellings_share_a_feature(a, b):
-    assert abuse.slot(f"w:{b}") in abuse.features(a) or "107" in a
+    assert abuse.token_numbers(b)[0] in [abuse.token_numbers(t)[0] for t in abuse.spelt(a)] or "107" in a
+
+
+def test_pieces_of_whole_words():
+    a, b = ("x" * 7 + "abcdefghij" * 3 + end for end in ("idiotkind", "friendly"))
+    assert set(abuse.token_numbers(a)[1]) != set(abuse.token_numbers(b)[1])
+    slot, sentence, text = abuse.features([f"one {a}. two", None, "", "three"])
+    assert text.tolist() == [0, 0, 3] and set(sentence.tolist()) == {0, 1, 2}
