@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tarnwork.runtime import Workspace, spread, width
 
 SAMPLE_ROWS, PROBES, FAN, SLACK = 262_144, 512, 32, 5e-5
-BLOCK, PART_BYTES = 4096, 8 << 20
+BLOCK, PART_BYTES = 8192, 8 << 20
 
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ class Tree:
         return out
 
 
-def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding", dim: int = 64, k: int = 5, floor: float = 0.85, recall: float = 0.99, leaf_rows: int = 256) -> DataFrame:
+def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding", dim: int = 64, k: int = 5, floor: float = 0.85, recall: float = 0.985, leaf_rows: int = 512) -> DataFrame:
     """``(a, b, similarity)`` with a < b: one of the two is among the k most similar rows of the other and cosine >= floor.
 
     * Null vectors, vectors of another length, zero vectors and vectors with null, NaN or infinite values take no part;
@@ -202,6 +202,10 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     probes = held.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(PROBES).select("id", "v").collect()
     visits = calibrate(rows, shared, np.array([r.id for r in probes], dtype=np.int64), matrix(probes), k, floor, recall)
 
+    # leaves expected to hold more than BLOCK rows are dealt into blocks; every pair of blocks meets in a group of its own
+    load = np.bincount(tree.visits(sample, visits).ravel() + 1, minlength=len(tree.children) + 1)[1:] * (total / len(sample))
+    blocks = np.maximum(1, np.ceil(load / BLOCK)).astype(np.int64)
+
     def route(batches):
         for batch in batches:
             blob = batch.column(1).to_pylist()
@@ -209,52 +213,47 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
                 continue
             x = np.frombuffer(b"".join(blob), dtype=np.float32).reshape(-1, dim)
             ids = batch.column(0).to_numpy()
-            small = packed(x)
+            small = [r.tobytes() for r in packed(x)]
             for i in range(0, len(x), 2048):
                 bins = shared.value.visits(x[i : i + 2048], visits)
                 r, c = np.nonzero(bins >= 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bins[r, c].astype(np.int32)), pa.array(ids[i + r]), pa.array([small[j].tobytes() for j in i + r], pa.binary())], ["leaf", "id", "v"]
-                )
+                leaf, r = bins[r, c], i + r
+                many = blocks[leaf]
+                mine = (ids[r].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many
+                other = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                leaf, r, mine = (np.repeat(z, many) for z in (leaf, r, mine))
+                pair = np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other)
+                cols = [leaf.astype(np.int32), pair, (mine > other).astype(np.int8), ids[r]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([small[j] for j in r.tolist()], pa.binary())], ["leaf", "pair", "side", "id", "v"])
 
     def search(table):
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        order = np.lexsort((ids, ~own))
-        ids, mine = ids[order], int(own.sum())
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        order = np.lexsort((ids, side))
+        ids, n, cut = ids[order], len(ids), int((side == 0).sum())
         x = unpacked(b"".join(table.column("v").to_pylist()), dim)[order]
         a, b, s = [], [], []
-        for i in range(0, mine, 1024):
-            sims = x[i : min(i + 1024, mine)] @ x.T
-            r, c = np.nonzero(sims >= floor - SLACK)
-            other = ids[i + r] != ids[c]
-            r, c = r[other], c[other]
-            best = np.lexsort((ids[c], -sims[r, c], r))
-            r, c = r[best], c[best]
-            start = np.searchsorted(r, r)
-            last = sims[r[np.minimum(start + k - 1, len(r) - 1)], c[np.minimum(start + k - 1, len(r) - 1)]] if len(r) else sims[:0, 0]
-            near = (np.arange(len(r)) - start < k) | (sims[r, c] >= last - SLACK)
-            a.append(ids[i + r[near]])
-            b.append(ids[c[near]])
-            s.append(sims[r[near], c[near]].astype(np.float64))
+        low_block, high_block = divmod(table.column("pair")[0].as_py(), 1 << 20)
+        turns = [(0, n, 0, n)] if low_block == high_block else [(0, cut, cut, n), (cut, n, 0, cut)]
+        for low, high, first, last_ in turns:
+            for i in range(low, high, 1024):
+                sims = x[i : min(i + 1024, high)] @ x[first:last_].T
+                r, c = np.nonzero(sims >= floor - SLACK)
+                other = ids[i + r] != ids[first + c]
+                r, c = r[other], c[other]
+                best = np.lexsort((ids[first + c], -sims[r, c], r))
+                r, c = r[best], c[best]
+                start = np.searchsorted(r, r)
+                last = sims[r[np.minimum(start + k - 1, len(r) - 1)], c[np.minimum(start + k - 1, len(r) - 1)]] if len(r) else sims[:0, 0]
+                near = (np.arange(len(r)) - start < k) | (sims[r, c] >= last - SLACK)
+                a.append(ids[i + r[near]])
+                b.append(ids[first + c[near]])
+                s.append(sims[r[near], c[near]].astype(np.float64))
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": np.concatenate(s) if s else np.zeros(0)})
 
-    routed = main.mapInArrow(route, "leaf int, id bigint, v binary")
+    routed = main.mapInArrow(route, "leaf int, pair bigint, side byte, id bigint, v binary")
     parts = max(width(spark), -(-total * visits * (2 * dim + 32) // PART_BYTES))
-    sizes = ws.save(routed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "sizes") if total > leaf_rows * leaves * 2 or total > BLOCK else None
-    crowd = sizes.count() if sizes is not None else 0
-    if crowd:
-        # rows of a large leaf are dealt into blocks; each block as the searching one meets itself and every other block
-        blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
-        dealt = routed.join(_small(sizes, crowd), "leaf", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        asks = dealt.select("leaf", "id", "v", "block", other.alias("there"), F.lit(True).alias("own"))
-        gives = dealt.where("blocks > 1").select("leaf", "id", "v", other.alias("block"), F.col("block").alias("there"), F.lit(False).alias("own")).where("block <> there")
-        routed = asks.union(gives)
-    else:
-        routed = routed.select("leaf", "id", "v", F.lit(0).alias("block"), F.lit(0).alias("there"), F.lit(True).alias("own"))
-    by = ["leaf", "block", "there"]
-    found = routed.repartition(parts, *by).groupBy(*by).applyInArrow(search, "a bigint, b bigint, similarity double")
+    found = routed.repartition(parts, "leaf", "pair").groupBy("leaf", "pair").applyInArrow(search, "a bigint, b bigint, similarity double")
     found = ws.save(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "found")
 
     def exact(batches):
