@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ from tarnwork.sqltypes import spark_type
 
 GROUP = "_near_duplicate_group"
 LINEAGE = "training_exports"
+# How a plan shows whole division of numbers with a fraction: operands cast to decimals.
+DECIMAL_DIVISION = re.compile(r"div cast\([^ ]+ as decimal|as decimal\(\d+,\d+\)\) div")
 NAME = r'("?[\w.]+"?)'
 
 
@@ -113,6 +116,7 @@ class Transaction:
             self.engine.locks.pop(k, None)
         self.open, self.buffer = False, []
         self.engine.transactions.discard(self)
+        self.engine._let_go()
 
 
 class Engine:
@@ -207,6 +211,10 @@ class Engine:
         (r"DROP SEMANTIC CACHE FOR TABLE\s+" + NAME + r"\s*$", "_drop_cache"),
         (r"(CREATE|DROP|ALTER) ROLE\s+" + NAME + r"(.*)$", "_role"),
         (r"(GRANT|REVOKE)\s+(.*?)\s+ON\s+(?:TABLE\s+)?" + NAME + r"\s+(?:TO|FROM)\s+" + NAME + r"\s*$", "_grant"),
+        (r"COPY\s+" + NAME + r"\s*(\([^()]*\))?\s+FROM\s+('[^']*')\s*$", "_copy_from"),
+        (r"COPY\s+" + NAME + r"\s*(\([^()]*\))?\s+TO\s+('[^']*')\s*$", "_copy_to"),
+        (r"DROP VERSION TAG\s+('[^']*')\s*$", "_untag"),
+        (r"SHOW VERSION TAGS\s*$", "_tags"),
         (r"BACKUP TO\s+('[^']*')\s*$", "_backup"),
         (r"RESTORE FROM\s+('[^']*')\s*$", "_restore"),
         (r"(?:BEGIN|START)(?:\s+TRANSACTION|\s+WORK)?(\s+ISOLATION LEVEL SERIALIZABLE)?\s*$", "_begin"),
@@ -363,8 +371,14 @@ class Engine:
         n = change.count()
         if n:
             self.store.append(name, change)
+        self._let_go()
         return n
 
+    def _let_go(self) -> None:
+        """Remove rows held for finished statements; those of open transactions stay."""
+        if not self.transactions:
+            self.store.files.delete(f"{self.store.root}/_held")
+
     def _insert(self, name, columns, source):
         name = dialect.unquote(name)
         self._allow("INSERT", name)
@@ -396,6 +410,25 @@ class Engine:
         schema = self.store.schema(name)
         return self.upsert(name, from_lines(lines, T.StructType([schema[c] for c in columns or schema.names])))
 
+    def _copy_from(self, name, columns, path):
+        names = [dialect.unquote(c.strip()) for c in columns.strip("()").split(",")] if columns else None
+        return self.copy_from(dialect.unquote(name), self.spark.read.text(dialect.unquote(path)), names)
+
+    def _copy_to(self, name, columns, path):
+        names = [dialect.unquote(c.strip()) for c in columns.strip("()").split(",")] if columns else None
+        lines = self.copy_to(dialect.unquote(name), names)
+        lines.write.text(dialect.unquote(path))
+        return self.spark.read.text(dialect.unquote(path)).count()
+
+    def _untag(self, name):
+        self._admin()
+        self.store.untag(dialect.unquote(name))
+        return "DROP VERSION TAG"
+
+    def _tags(self):
+        rows = [(t["name"], t["ts"], bool(t.get("training")), t["root"]) for t in self.store.tag_list()]
+        return self.spark.createDataFrame(rows, "tag_name string, version_timestamp bigint, for_training boolean, root_hash string")
+
     def copy_to(self, name: str, columns: list[str] | None = None) -> DataFrame:
         self._allow("SELECT", name)
         return to_lines(self._view(name).select(*(columns or self.store.schema(name).names)))
@@ -495,16 +528,40 @@ class Engine:
             if match and f"{match.column}_embedding" in rows.columns:
                 rows = self._semantic(name, rows, match, sql)
             if unique and GROUP in rows.columns:
-                where = re.search(r"\bWHERE\b(.*?)(?=\bGROUP BY\b|\bORDER BY\b|\bLIMIT\b|\bOFFSET\b|$)", sql, re.I | re.S)
-                rows = not_duplicate(rows.where(where[1].strip()) if where else rows, GROUP, self.store.keys(name)[0])
+                rows = not_duplicate(self._narrowed(name, rows, sql), GROUP, self.store.keys(name)[0])
             rows.createOrReplaceTempView(name)
         if match and not any(f"{match.column}_embedding" in self.store.schema(n).names for n in used):
             raise EngineError("42703", f"column {match.column} has no embedding")
         for name, rows in self.system_tables(sql).items():
             rows.createOrReplaceTempView(name)
-        text = dialect.place_nulls(sql)
+        text = self._whole_division(dialect.place_nulls(sql), args, used)
         return self.spark.sql(text, args=args) if args else self.spark.sql(text)
 
+    def _narrowed(self, name: str, rows: DataFrame, sql: str) -> DataFrame:
+        """Rows of a table that meet the query's conditions on that table alone: NOT DUPLICATE chooses among those."""
+        for term in dialect.own_terms(sql, name):
+            try:
+                rows = rows.where(term)
+                rows.schema
+            except AnalysisException:
+                continue  # names other tables too; the query itself applies it
+        return rows
+
+    def _whole_division(self, sql: str, args, used: set[str]) -> str:
+        """``/`` between whole numbers truncates: it becomes ``div`` wherever the operands have whole types."""
+        ts = dialect.tokens(sql)
+        for i in dialect.divisions(sql):
+            tried = "".join([*ts[:i], " div ", *ts[i + 1 :]])
+            try:
+                new = self.spark.sql(tried, args=args) if args else self.spark.sql(tried)
+            except AnalysisException:
+                continue  # no whole numbers
+            near = {w.split(".")[-1].lower() for w in (dialect.words("".join(ts[:i]))[-1:] + dialect.words("".join(ts[i + 1 :]))[:1])}
+            fine = {f.name.lower() for t in used for f in self.store.schema(t) if isinstance(f.dataType, T.DecimalType)}
+            if not near & fine and not DECIMAL_DIVISION.search(new._jdf.queryExecution().analyzed().toString()):
+                ts[i] = " div "
+        return "".join(ts)
+
     def _semantic(self, name: str, rows: DataFrame, match: dialect.SemanticMatch, sql: str) -> DataFrame:
         """Rows at least as similar as the threshold. The residual filters of a single-table query are applied by the
         query itself; the search is exact, so filtering before or after gives the same rows."""
@@ -554,14 +611,29 @@ class Engine:
 
         target = f"{column}_embedding"
         stale = self._view(name).where(F.col(target).isNull() & F.col(column).isNotNull())
+        if self._model(name, column, "embedded") not in (None, self._model(name, column, "model")):
+            stale = self._view(name).where(F.col(column).isNotNull())
+        self.store.table(name).setdefault("embedded", {})[column] = self._model(name, column, "model")
         return self._write(name, stale.withColumn(target, vector(column)).withColumn("_op", F.lit("U")))
 
+    def _model(self, name: str, column: str, which: str) -> str | None:
+        """The model a column is declared with, or the one its stored vectors came from."""
+        return self.store.table(name).get("embedded", {}).get(column) if which == "embedded" else self.store.schema(name)[column].metadata["embedding"]["model"]
+
+    def set_model(self, name: str, column: str, model: str) -> None:
+        """Declare another model version; every vector of the column is stale until it is embedded again."""
+        self._admin()
+        field = next(f for f in self.store.table(name)["schema"]["fields"] if f["name"] == column)
+        field["metadata"]["embedding"]["model"] = model
+        self.store.publish()
+
     def _embedding_health(self, name):
         rows = []
         for table in [name.lower()] if name else sorted(self.store.meta["tables"]):
             for f in self.store.schema(table):
                 if "embedding" in f.metadata:
-                    missing = self.store.snapshot(table).where(F.col(f"{f.name}_embedding").isNull() & F.col(f.name).isNotNull()).count()
+                    changed = self._model(table, f.name, "embedded") not in (None, f.metadata["embedding"]["model"])
+                    missing = self.store.snapshot(table).where((F.lit(changed) | F.col(f"{f.name}_embedding").isNull()) & F.col(f.name).isNotNull()).count()
                     rows.append((table, f.name, f.metadata["embedding"]["model"], "ready" if self.embedder else "absent", missing))
         return self.spark.createDataFrame(rows, "table_name string, column_name string, model_version string, embedder string, stale bigint")
 
@@ -619,7 +691,13 @@ class Engine:
         return self.store.compact(name, [t.read_ts for t in self.transactions])
 
     def _analyze(self, name):
-        return f"ANALYZE {name}: {self.store.snapshot(name).count()} rows"
+        table, found = self.store.table(name), {r["column"]: r.asDict() for r in self.statistics(name).collect()}
+        rows = self.store.snapshot(name)
+        plain = [f.name for f in self.store.schema(name) if isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+        ends = rows.agg(F.count("*").alias("n"), *[F.struct(F.min(c).cast("string"), F.max(c).cast("string")).alias(c) for c in plain]).first()
+        table["statistics"] = {"rows": ends["n"], "columns": found, "ends": {c: list(ends[c]) for c in plain}, "at": self.store.last_ts()}
+        self.store.publish()
+        return f"ANALYZE {name}: {ends['n']} rows"
 
     def statistics(self, name: str) -> DataFrame:
         """(column, ndv, fraction of nulls)."""

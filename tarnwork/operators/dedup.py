@@ -8,6 +8,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.operators.buckets import across
+from tarnwork.operators.components import connected_components
+from tarnwork.runtime import Workspace, spread
+
 SLOTS = 128
 PRIME = (1 << 61) - 1
 
@@ -67,3 +71,46 @@ def minhash(texts: Column | str) -> Column:
 def estimated_jaccard(a: Column, b: Column) -> Column:
     """Equal slots of two signatures over their number."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
+
+
+BANDS, ROWS = 32, 4
+
+
+def equal_groups(rows: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """``(group_id, key)`` of rows whose whole texts are equal, groups of two or more; group_id is the smallest key. Null texts have none."""
+    sized = rows.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("d")).agg(F.min(key_col).alias("group_id"), F.count("*").alias("n"))
+    return rows.select(F.col(key_col).alias("key"), F.sha2(text_col, 256).alias("d")).join(sized.where("n > 1"), "d").select("group_id", "key")
+
+
+def similar_groups(rows: DataFrame, key_col: str, text_col: str, threshold: float = 0.8) -> DataFrame:
+    """``(group_id, key)`` of rows whose signatures agree in at least ``threshold`` of their slots, also through other rows.
+
+    group_id is the smallest key, so it depends on the keys alone, not on their order or layout. Keys are bigint; null and empty texts have
+    no group. Equal texts are folded first; in a bucket of a band each signature meets the smallest key's, then only signatures of other
+    components, in blocks.
+    """
+    ws = Workspace(rows.sparkSession, "similar")
+    given = rows.where(F.col(key_col).isNotNull() & (F.col(text_col) != "")).select(F.col(key_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    every = ws.save(given.withColumn("d", F.sha2("text", 256)), "every")
+    reps = every.groupBy("d").agg(F.min("id").alias("id")).select("id")
+    signed = ws.save(spread(every.join(reps, "id", "left_semi")).select("id", minhash("text").alias("sig")).dropDuplicates(["id"]), "signed")
+    keys = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * ROWS + 1, ROWS)) for b in range(BANDS)])
+    bands = signed.select(F.explode(keys).alias("key"), "id")
+    hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("z")).where("hub < z").drop("z")
+    placed = ws.save(bands.join(hubs, "key"), "placed")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        side = lambda n: signed.select(F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"))
+        full = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        return ws.save(full.where(estimated_jaccard(F.col("sig_a"), F.col("sig_b")) >= threshold).select("a", "b"), "edges")
+
+    edges = linked(placed.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    comps = connected_components(edges, ws)
+    more = linked(across(placed.select("key", "id"), comps).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
+    if more.limit(1).count():
+        comps = connected_components(edges.union(more), ws)
+    owner = every.groupBy("d").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    owner = owner.where("comp is not null or n > 1").select("d", F.coalesce("comp", "rep").alias("group_id"))
+    out = ws.save(every.join(owner, "d").select("group_id", F.col("id").alias("key")).distinct(), "groups")
+    ws.drop(every, signed, placed, edges, more, comps)
+    return out

@@ -22,16 +22,21 @@ def to_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\t", *[cell(c) for c in rows.columns]).alias("value"))
 
 
+def unescape(piece):
+    for a, b in ESCAPES:
+        piece = F.when(piece == b, a).otherwise(piece)
+    return piece
+
+
 def from_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     """Rows of a schema; a cell that doesn't fit its type raises, the end mark is skipped."""
     cells = F.split("value", "\t")
 
     def cell(i: int, field: T.StructField):
         text = F.get(cells, F.lit(i))
-        kept = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-        for a, b in ESCAPES[1:]:
-            kept = F.replace(kept, F.lit(b), F.lit(a))
-        plain = F.replace(kept, F.lit("\x00"), F.lit("\\"))
+        # one pass from left to right: each piece is one escape or one run without any
+        pieces = F.regexp_extract_all(text, F.lit(r"(\\.|[^\\]+|\\)"), F.lit(1))
+        plain = F.array_join(F.transform(pieces, unescape), "")
         return F.when(text != "\\N", plain).cast(field.dataType).alias(field.name)
 
     return lines.where("value <> '\\\\.'").select(*[cell(i, f) for i, f in enumerate(schema)])

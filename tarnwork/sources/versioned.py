@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -11,48 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwork.errors import EngineError
+from tarnwork.sources.manifest import Files, Manifest
 
 SYSTEM = ("_commit_ts", "_op")
 
 
-class Files:
-    """Small files through the cluster's file system, replaced by rename."""
-
-    def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def path(self, p: str):
-        return self.jvm.org.apache.hadoop.fs.Path(p)
-
-    def fs(self, p: str):
-        return self.path(p).getFileSystem(self.conf)
-
-    def exists(self, p: str) -> bool:
-        return self.fs(p).exists(self.path(p))
-
-    def delete(self, p: str) -> None:
-        self.fs(p).delete(self.path(p), True)
-
-    def read(self, p: str) -> str:
-        stream = self.fs(p).open(self.path(p))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def write(self, p: str, text: str) -> None:
-        new = f"{p}.{uuid.uuid4().hex}"
-        out = self.fs(p).create(self.path(new), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self.exists(p):
-            self.delete(p)
-        self.fs(p).rename(self.path(new), self.path(p))
-
-    def copy(self, a: str, b: str) -> None:
-        self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs(a), self.path(a), self.fs(b), self.path(b), False, self.conf)
-
-
 class Store:
     """All tables below one folder. One driver writes; readers see only commits that the manifest names.
 
@@ -62,12 +26,14 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.root, self.files = spark, path.rstrip("/"), Files(spark)
-        self._catalog = f"{self.root}/catalog.json"
-        empty = {"tables": {}, "tags": {}, "indexes": {}, "caches": {}, "roles": {}, "grants": [], "clock": 0}
-        self.meta = json.loads(self.files.read(self._catalog)) if self.files.exists(self._catalog) else empty
+        self._manifest = Manifest(spark, self.root, {"tables": {}, "tags": {}, "indexes": {}, "caches": {}, "roles": {}, "grants": [], "clock": 0})
+
+    @property
+    def meta(self) -> dict:
+        return self._manifest.state
 
     def publish(self) -> None:
-        self.files.write(self._catalog, json.dumps(self.meta))
+        self._manifest.publish()
 
     def table(self, name: str) -> dict:
         if name.lower() not in self.meta["tables"]:
@@ -139,8 +105,14 @@ class Store:
         return out if upto is None else out.where(F.col("_commit_ts") <= upto)
 
     def snapshot(self, name: str, ts: int | None = None, with_ts: bool = False) -> DataFrame:
-        """The state at a time, tombstones applied. A table of one commit needs no choice between versions."""
+        """The state at a time, tombstones applied. A table of one commit needs no choice between versions.
+
+        Compaction keeps the newest state and the pinned ones; of other times before it nothing is left, and reading one raises 58P01.
+        """
         commits, keys = self.table(name)["commits"], self.keys(name)
+        horizon = self.table(name).get("horizon", 0)
+        if ts is not None and ts < horizon and ts not in self.table(name).get("pinned", []):
+            raise EngineError("58P01", f"{name} was compacted at {horizon}; its state at {ts} is no longer kept")
         log = self.log(name, ts)
         if len(commits) > 1 or any("from" in c for c in commits):
             newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_commit_ts")))
@@ -173,15 +145,55 @@ class Store:
         return rows.select(F.concat(F.lit(f"{name}:"), key).alias("pk"), F.xxhash64(key, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).alias("checksum"))
 
     def root_hash(self, ts: int) -> str:
-        """One hash over all rows of all tables: order-free sums of row checksums, per table, hashed together."""
-        import hashlib
+        """One hash over all rows of all tables: order-free sums of row checksums, per table, hashed together.
 
+        A table's sums at its last commit are kept with it, so a tag reads only tables changed since the tag before.
+        """
         h = hashlib.sha256()
         for name in sorted(self.meta["tables"]):
-            r = self.checksums(name, ts).agg(F.count("*"), F.sum(F.col("checksum").cast("decimal(20,0)")).cast("string"), F.bit_xor("checksum")).first()
-            h.update(repr((name, *r)).encode())
+            table = self.table(name)
+            last = max((c["ts"] for c in table["commits"] if c["ts"] <= ts), default=0)
+            kept = table.setdefault("sums", {})
+            if str(last) not in kept or any("from" in c and c["from"] <= last < c["ts"] for c in table["commits"]):
+                r = self.checksums(name, ts).agg(F.count("*"), F.sum(F.col("checksum").cast("decimal(20,0)")).cast("string"), F.bit_xor("checksum")).first()
+                kept[str(last)] = list(r)
+            h.update(repr((name, *kept[str(last)])).encode())
         return h.hexdigest()
 
+    def tag_list(self) -> list[dict]:
+        """Tags by time, then name."""
+        return sorted(({"name": n} | t for n, t in self.meta["tags"].items()), key=lambda t: (t["ts"], t["name"]))
+
+    def untag(self, name: str) -> None:
+        """Remove a tag; the next compaction no longer keeps its state."""
+        if self.meta["tags"].pop(name, None) is None:
+            raise EngineError("42704", f"tag {name} does not exist")
+        self.publish()
+
+    def version_at_or_before(self, ts: int) -> str | None:
+        """The newest tag whose state is not after a time."""
+        return next((t["name"] for t in reversed(self.tag_list()) if t["ts"] <= ts), None)
+
+    def verify(self, tag: str) -> bool:
+        """Whether a tag's rows still have the hash it was made with."""
+        return self.root_hash_fresh(self.resolve(tag)) == self.meta["tags"][tag]["root"]
+
+    def root_hash_fresh(self, ts: int) -> str:
+        """The root hash from the rows themselves, whatever sums are kept."""
+        kept = {n: t.pop("sums", {}) for n, t in self.meta["tables"].items()}
+        try:
+            return self.root_hash(ts)
+        finally:
+            for n, t in self.meta["tables"].items():
+                t["sums"] = kept[n]
+
+    def diff(self, name: str, old: int | str, new: int | str) -> DataFrame:
+        """(key columns, change): rows added, removed or changed between two versions, by row checksums."""
+        a, b = self.checksums(name, self.resolve(old)), self.checksums(name, self.resolve(new))
+        both = a.withColumnRenamed("checksum", "was").join(b.withColumnRenamed("checksum", "now"), "pk", "full").where("not (was <=> now)")
+        change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
+        return both.select(F.regexp_replace("pk", "^[^:]*:", "").alias("pk"), change.alias("change"))
+
     def compact(self, name: str, pins: list[int] | None = None) -> int:
         """Rewrite as one commit: of each key the newest version and the newest at or before each pin.
 
@@ -204,6 +216,7 @@ class Store:
         first = min(c.get("from", c["ts"]) for c in table["commits"])
         writer = held.sortWithinPartitions(*keys).write
         (writer.parquet if table["storage"] == "columnar" else writer.json)(f"{self.root}/{folder}")
+        table["horizon"], table["pinned"] = max(c["ts"] for c in table["commits"]), pinned
         table["commits"] = [{"ts": max(c["ts"] for c in table["commits"]), "from": first, "path": folder, "format": table["storage"]}]
         self.publish()
         for p in old:
@@ -211,11 +224,22 @@ class Store:
         return len(old)
 
     def backup(self, target: str) -> None:
-        if self.files.exists(f"{target}/catalog.json"):
+        """Copy every commit by the executors, then the manifest; the backup counts once its sums are written."""
+        if self.files.exists(f"{target}/sums.json"):
             raise EngineError("58P02", "the target holds a backup already")
         sums = {n: self._sum(n) for n in self.meta["tables"]}
-        self.files.copy(self.root, f"{target}/data")
-        self.files.write(f"{target}/sums.json", json.dumps(sums))
+        self._copy(self, f"{target}/data", self.meta["tables"])
+        Manifest(self.spark, f"{target}/data", self.meta).publish()
+        self.files.create(f"{target}/sums.json", json.dumps(sums))
+
+    def _copy(self, source: Store, root: str, tables: dict) -> None:
+        """Rewrite the commits of tables below another root, same paths, as distributed jobs."""
+        for name, table in tables.items():
+            full = T.StructType([*T.StructType.fromJson(table["schema"]).fields, T.StructField("_commit_ts", T.LongType()), T.StructField("_op", T.StringType())])
+            for c in table["commits"]:
+                kind, folder = ("parquet" if c["format"] == "columnar" else "json"), f"{source.root}/{c['path']}"
+                rows = self.spark.read.schema(full).format(kind).load(folder)
+                rows.write.format(kind).options(**({"ignoreNullFields": "false"} if kind == "json" else {})).save(f"{root}/{c['path']}")
 
     def _sum(self, name: str) -> list:
         r = self.log(name).agg(F.count("*"), F.bit_xor(F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))).first()
@@ -227,10 +251,17 @@ class Store:
         for name, wanted in json.loads(self.files.read(f"{source}/sums.json")).items():
             if there._sum(name) != wanted:
                 raise EngineError("XX001", f"the backup of table {name} is damaged")
-        for name in self.meta["tables"]:
-            self.files.delete(f"{self.root}/{self.meta['tables'][name]['dir']}")
-        for t in there.meta["tables"].values():
-            if self.files.exists(f"{there.root}/{t['dir']}"):
-                self.files.copy(f"{there.root}/{t['dir']}", f"{self.root}/{t['dir']}")
-        self.meta = there.meta
+        # into folders of their own first: until the manifest names them, the live tables stay as they are
+        tables = json.loads(json.dumps(there.meta["tables"]))
+        for t in tables.values():
+            fresh = f"{t['dir']}-r{uuid.uuid4().hex[:6]}"
+            moved = {"x": t | {"commits": [c | {"path": c["path"]} for c in t["commits"]]}}
+            self._copy(there, f"{self.root}/{fresh}.in", moved)
+            for c in t["commits"]:
+                c["path"] = f"{fresh}.in/{c['path']}"
+            t["dir"] = fresh
+        old = [t["dir"] for t in self.meta["tables"].values()] + [c["path"].split("/")[0] for t in self.meta["tables"].values() for c in t["commits"]]
+        self._manifest.state = there.meta | {"tables": tables, "clock": max(there.meta["clock"], self.meta["clock"])}
         self.publish()
+        for folder in set(old):
+            self.files.delete(f"{self.root}/{folder}")
