@@ -150,7 +150,7 @@ class Tree:
         return out
 
 
-def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding", dim: int = 64, k: int = 5, floor: float = 0.85, recall: float = 0.985, leaf_rows: int = 512) -> DataFrame:
+def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding", dim: int = 64, k: int = 5, floor: float = 0.85, recall: float = 0.985, leaf_rows: int = 512, visits_from: int = 5) -> DataFrame:
     """``(a, b, similarity)`` with a < b: one of the two is among the k most similar rows of the other and cosine >= floor.
 
     * Null vectors, vectors of another length, zero vectors and vectors with null, NaN or infinite values take no part;
@@ -158,7 +158,7 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     * Equal directions (equal bytes at length one) tie; the smaller id wins. Only the first k + 1 rows of one direction are indexed: no other
       row can need more of them, and the remaining copies get the k smallest ids of their direction by join.
     * The tree is fitted on at most SAMPLE_ROWS rows, with at least eight of them for each leaf; every row is indexed and searched. Visits are
-      widened, to all leaves if need be, on PROBES other vectors until the lower bound of the share of their exact partners that
+      widened from ``visits_from``, to all leaves if need be, on PROBES other vectors until the lower bound of the share of their exact partners that
       are met, those found among all rows, reaches ``recall``.
     """
     spark, ws, copies = docs.sparkSession, Workspace(docs.sparkSession, "knn"), k + 1
@@ -200,7 +200,7 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     shared = spark.sparkContext.broadcast(tree)
     held = rows.where(place >= cut) if cut < 1 << 30 else rows
     probes = held.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(PROBES).select("id", "v").collect()
-    visits = calibrate(rows, shared, np.array([r.id for r in probes], dtype=np.int64), matrix(probes), k, floor, recall)
+    visits = calibrate(rows, shared, np.array([r.id for r in probes], dtype=np.int64), matrix(probes), k, floor, recall, visits_from)
 
     # leaves expected to hold more than BLOCK rows are dealt into blocks; every pair of blocks meets in a group of its own
     load = np.bincount(tree.visits(sample, visits).ravel() + 1, minlength=len(tree.children) + 1)[1:] * (total / len(sample))
@@ -294,8 +294,8 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     return out
 
 
-def calibrate(rows: DataFrame, shared, ids: np.ndarray, probes: np.ndarray, k: int, floor: float, recall: float, sure: float = 1.64) -> int:
-    """The fewest leaf visits whose recall on the probes is above ``recall`` even at its lower confidence bound; all leaves if need be.
+def calibrate(rows: DataFrame, shared, ids: np.ndarray, probes: np.ndarray, k: int, floor: float, recall: float, least: int, sure: float = 1.64) -> int:
+    """The fewest leaf visits, ``least`` or more, whose recall on the probes is above ``recall`` even at its lower confidence bound; all leaves if need be.
 
     A pair is met when the two share a visited leaf. Every row is compared with every probe; the rows above the
     floor come back with the probe they belong to, best k of each task, which is bounded by probes x k x tasks.
@@ -322,10 +322,10 @@ def calibrate(rows: DataFrame, shared, ids: np.ndarray, probes: np.ndarray, k: i
     got = rows.select("id", "v").mapInArrow(run, "p int, s float, v binary")
     got = got.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("s")))).where(F.col("n") <= k).select("p", "v").collect()
     if not got:
-        return 2
+        return least
     tree, leaves = shared.value, sum(not len(c) for c in shared.value.children)
     theirs_ = np.frombuffer(b"".join(r[1] for r in got), dtype=np.float32).reshape(-1, dim)
-    most, n = 8, 2
+    most, n = max(8, least), least
     while True:
         mine, theirs = tree.visits(probes[[r[0] for r in got]], most), tree.visits(theirs_, most)
         for n in range(n, most + 1):

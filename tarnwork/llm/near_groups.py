@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm.shingles import BUCKETS, U, alike, bits, blocks, digest, hopeful, mix, signatures
+from tarnwork.operators.buckets import BLOCK, across
 from tarnwork.operators.components import connected_components
 from tarnwork.runtime import Workspace, spread
 
-BANDS, ROWS, MANTISSA, PASSES, BLOCK = 32, 7, 10, 4, 2048
+BANDS, ROWS, MANTISSA, PASSES = 32, 7, 10, 4
 SLOTS = PASSES * BUCKETS
 WIDTH = 58
 
@@ -105,20 +106,8 @@ def verify(pairs: DataFrame, sketches: DataFrame, threshold: float, ws: Workspac
 
 
 def crossing(placed: DataFrame, comps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Hopeful pairs (a, b) of different components in one bucket.
-
-    In each bucket the members outside its largest component meet all members, so a bucket of one big component and few others
-    costs their product, not the square of the bucket. A bucket's members are dealt into blocks of about ``block`` and the others are sent
-    to each block, so no task holds a hot bucket.
-    """
-    kept = placed.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    parts = kept.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    total = parts.groupBy("key").agg(F.sum("n").alias("rows"), F.count("*").alias("comps"), F.max_by("comp", "n").alias("main"))
-    mixed = total.where("comps > 1").select("key", "main", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    inside = kept.join(mixed, "key")
-    right = inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("r")
-    left = inside.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
-    both = left.join(right, ["key", "block"]).where("l.comp <> r.comp and (r.comp = r.main or l.id < r.id)").where(hopeful("l", "r", threshold))
+    """Hopeful pairs (a, b) of different components in one bucket."""
+    both = across(placed, comps, block).where(hopeful("l", "r", threshold))
     return both.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
