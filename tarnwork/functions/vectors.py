@@ -96,3 +96,24 @@ def fp16(rows: DataFrame, vector_col: str = "embedding") -> DataFrame:
         return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f2").tobytes())
 
     return rows.withColumn("half", pack(vector_col))
+
+
+def fp16_restored(rows: DataFrame, half_col: str = "half") -> DataFrame:
+    """``restored``: the numbers that half floats stand for."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.frombuffer(x, dtype="<f2").astype(np.float32))
+
+    return rows.withColumn("restored", unpack(half_col))
+
+
+def hamming(a: Column | str, b: Column | str) -> Column:
+    """Bits in which two codes of equal length differ; null where either is null."""
+
+    @F.pandas_udf("int")
+    def differ(x: pd.Series, y: pd.Series) -> pd.Series:
+        one = lambda p, q: None if p is None or q is None else int(np.bitwise_count(np.frombuffer(p, np.uint8) ^ np.frombuffer(q, np.uint8)).sum())
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="Int32")
+
+    return differ(a, b)

@@ -78,7 +78,41 @@ def vec_rabitq(spark, sf):
 
 
 def vec_fp16(spark, sf):
-    return vectors.fp16(load(spark, sf, "embeddings")).select("vec_id", F.length("half").alias("bytes"))
+    """Half floats take two bytes and restore each number to half a unit in its eleventh bit."""
+    there = vectors.fp16_restored(vectors.fp16(load(spark, sf, "embeddings")))
+    close = F.forall(F.zip_with("embedding", "restored", lambda x, y: F.abs(x - y) <= F.abs(x) * 2.0**-11 + 2.0**-25), lambda ok: ok)
+    return there.select("vec_id", F.length("half").alias("bytes"), close.alias("close"))
+
+
+def near_dup_exact(spark, sf):
+    return dedup.equal_groups(load(spark, sf, "docs"), "id", "text")
+
+
+def near_dup_minhash(spark, sf):
+    return dedup.similar_groups(load(spark, sf, "docs"), "id", "text")
+
+
+EQUAL, SPANS = (1, 10, 25, 50), ((1, 10), (5, 5), (20, 50))
+
+
+def selectivity_eq(spark, sf):
+    """Estimated shares of single values from the histogram that ANALYZE builds."""
+    rows = load(spark, sf, "lineitem")
+    hist, total = stats.histogram(rows, "l_quantity").orderBy("bucket").collect(), rows.count()
+    return spark.createDataFrame([(v, round(stats.equality_selectivity(hist, v, total), 8)) for v in EQUAL], "value int, share double")
+
+
+def selectivity_range(spark, sf):
+    rows = load(spark, sf, "lineitem")
+    hist, total = stats.histogram(rows, "l_quantity").orderBy("bucket").collect(), rows.count()
+    return spark.createDataFrame([(a, b, round(stats.range_selectivity(hist, a, b, total), 8)) for a, b in SPANS], "low int, high int, share double")
+
+
+HISTOGRAM = """
+WITH f AS (SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1),
+p AS (SELECT v, n, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS posn, sum(n) OVER () AS total FROM f),
+h AS (SELECT floor(posn * 100 / total) AS bucket, min(v) AS low, max(v) AS high, sum(n) AS rows, count(*) AS nd, any_value(total) AS total FROM p GROUP BY 1)
+"""
 
 
 def approx_ndv(spark, sf):
@@ -143,7 +177,7 @@ QUERIES = {
     "vec_knn_join": (vec_knn_join, "SELECT q, vec_id, r FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE r <= 3"),
     "vec_sq8_roundtrip": (vec_sq8_roundtrip, "WITH f AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT pos, min(x) AS low, CASE WHEN max(x) - min(x) < 1e-9 THEN 1.0 ELSE max(x) - min(x) END AS r FROM f GROUP BY pos), c AS (SELECT vec_id, x, low, r, CAST(round((x - low) / r * 255) AS INT) AS code FROM f JOIN m USING (pos)) SELECT vec_id, CAST(sum(code) AS BIGINT) AS codes, round(sqrt(sum((x - (code / 255.0::DOUBLE * r + low)) ** 2)), 4) AS error FROM c GROUP BY vec_id"),
     "vec_rabitq": (vec_rabitq, None),
-    "vec_fp16": (vec_fp16, "SELECT vec_id, CAST(2 * len(embedding) AS INT) AS bytes FROM embeddings"),
+    "vec_fp16": (vec_fp16, "SELECT vec_id, CAST(2 * len(embedding) AS INT) AS bytes, true AS close FROM embeddings"),
     "approx_ndv": (approx_ndv, None),
     "histogram_equi_height": (histogram_equi_height, "WITH f AS (SELECT l_extendedprice AS v, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT v, n, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS posn, sum(n) OVER () AS total FROM f) SELECT CAST(floor(posn * 100 / total) + 1 AS INT) AS bucket, round(min(v), 2) AS low, round(max(v), 2) AS high, CAST(sum(n) AS BIGINT) AS rows, count(*) AS \"distinct\" FROM p GROUP BY 1"),
     "correlation_matrix": (correlation_matrix, " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" if a != b else f"SELECT '{a}' AS a, '{b}' AS b, 1.0::DOUBLE AS r" for a in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") for b in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))),
@@ -152,6 +186,10 @@ QUERIES = {
     "not_duplicate": (not_duplicate, N5.format("")),
     "not_duplicate_filtered": (not_duplicate_filtered, N5.format("WHERE lang = 'en'")),
     "minhash_signature": (minhash_signature, None),
+    "near_dup_exact": (near_dup_exact, "SELECT m AS group_id, id AS key FROM (SELECT id, min(id) OVER (PARTITION BY text) AS m, count(*) OVER (PARTITION BY text) AS n FROM docs WHERE text IS NOT NULL) WHERE n > 1"),
+    "near_dup_minhash": (near_dup_minhash, None),
+    "selectivity_eq": (selectivity_eq, HISTOGRAM + f"SELECT CAST(v AS INT) AS value, round(CAST(rows AS DOUBLE) / nd / total, 8) AS share FROM h JOIN (SELECT unnest({list(EQUAL)}) AS v) ON v BETWEEN low AND high"),
+    "selectivity_range": (selectivity_range, HISTOGRAM + "SELECT CAST(a AS INT) AS low, CAST(b AS INT) AS high, round((sum(CASE WHEN a <= h.low AND h.high <= b THEN rows ELSE 0 END) + sum(CASE WHEN NOT (a <= h.low AND h.high <= b) AND h.low <= b AND h.high >= a THEN rows ELSE 0 END) / 2) / any_value(total), 8) AS share FROM h, (VALUES " + ", ".join(map(str, SPANS)) + ") t(a, b) GROUP BY a, b"),
     "copy_round_trip": (copy_round_trip, "SELECT * FROM nation"),
 }
 

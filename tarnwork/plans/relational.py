@@ -72,7 +72,13 @@ q("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN s
 q("join_using", "SELECT tag_name, count(*) AS n, max(seed) AS seed FROM exported_row JOIN training_tag USING (tag_name) GROUP BY tag_name")
 q("join_natural", "SELECT tag_name, primary_key, seed FROM exported_row NATURAL JOIN training_tag")
 q("join_lateral", "SELECT n_name, t.best FROM nation, LATERAL (SELECT max(c_acctbal) AS best FROM customer WHERE c_nationkey = n_nationkey) t")
-q("join_asof", "SELECT e.event_id, max_by(p.event_id, struct(p.ts, p.event_id)) AS purchase_id FROM events e JOIN events p ON e.user_id = p.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts WHERE e.event_type = 'error' GROUP BY e.event_id",
+q("join_asof", """
+SELECT event_id, purchase_id FROM (
+  SELECT event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END) IGNORE NULLS OVER (
+    PARTITION BY user_id ORDER BY ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, event_id ROWS UNBOUNDED PRECEDING) AS purchase_id
+  FROM events WHERE event_type IN ('purchase', 'error')) t
+WHERE event_type = 'error' AND purchase_id IS NOT NULL
+""",
   "SELECT e.event_id, max_by(p.event_id, struct_pack(a := p.ts, b := p.event_id)) AS purchase_id FROM events e JOIN events p ON e.user_id = p.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts WHERE e.event_type = 'error' GROUP BY e.event_id")
 
 # Aggregates
@@ -167,15 +173,6 @@ q("stream_sliding", "SELECT w.start AS start, count(*) AS n FROM (SELECT window(
 q("stream_session", "SELECT user_id, w.start AS start, count(*) AS n FROM (SELECT user_id, session_window(ts, '2 hours') AS w FROM events) t GROUP BY user_id, w",
   "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 2 HOURS, true) AS gap FROM events)) GROUP BY user_id, s")
 
-# Versions of rows: events as a change log keyed by user_id, ordered by event_id
-LATEST = "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events{}) t WHERE r = 1 AND event_type <> 'error'"
-q("scan_latest", LATEST.format(""))
-q("as_of_version", LATEST.format(" WHERE event_id <= 5000"))
-q("as_of_group_by", f"SELECT event_type, count(*) AS n FROM ({LATEST.format(' WHERE event_id <= 5000')}) v GROUP BY event_type")
-q("version_diff", f"SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({LATEST.format(' WHERE event_id <= 5000')}) a FULL JOIN ({LATEST.format('')}) b ON a.user_id = b.user_id WHERE a.event_id IS DISTINCT FROM b.event_id")
-q("gc_keep", "SELECT DISTINCT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events UNION ALL SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 5000) t WHERE r = 1")
-
-
 def queries():
     return {name: run(text) for name, (text, _) in Q.items()}
 

@@ -82,6 +82,15 @@ class Store:
             out.write.json(f"{self.root}/{folder}", ignoreNullFields=False)
         return {"ts": ts, "path": folder, "format": table["storage"]}
 
+    def load_log(self, name: str, changes: DataFrame) -> int:
+        """Take over a change log whose rows have their own ``_commit_ts`` (bigint) and ``_op``; the newest time."""
+        table, mark = self.table(name), uuid.uuid4().hex[:8]
+        folder = f"{table['dir']}/log-{mark}"
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema(name)]
+        changes.select(*columns, F.col("_commit_ts").cast("bigint").alias("_commit_ts"), "_op").write.parquet(f"{self.root}/{folder}")
+        first, last = self.spark.read.parquet(f"{self.root}/{folder}").agg(F.min("_commit_ts"), F.max("_commit_ts")).first()
+        return self.commit(name, {"ts": last, "from": first, "path": folder, "format": "columnar"}) if last is not None else 0
+
     def commit(self, name: str, *entries: dict) -> int:
         self.table(name)["commits"] += entries
         self.publish()
