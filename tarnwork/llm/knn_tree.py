@@ -150,7 +150,7 @@ class Tree:
         return out
 
 
-def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding", dim: int = 64, k: int = 5, floor: float = 0.85, recall: float = 0.985, leaf_rows: int = 512, visits_from: int = 5) -> DataFrame:
+def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding", dim: int = 64, k: int = 5, floor: float = 0.85, recall: float = 0.985, leaf_rows: int = 512, visits_from: int = 6) -> DataFrame:
     """``(a, b, similarity)`` with a < b: one of the two is among the k most similar rows of the other and cosine >= floor.
 
     * Null vectors, vectors of another length, zero vectors and vectors with null, NaN or infinite values take no part;
