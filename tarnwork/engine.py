@@ -22,6 +22,7 @@ from tarnwork.sources.versioned import Store
 from tarnwork.sqltypes import spark_type
 
 GROUP = "_near_duplicate_group"
+CANDIDATES, DEFAULT_K = 100, 10
 LINEAGE = "training_exports"
 # How a plan shows whole division of numbers with a fraction: operands cast to decimals.
 DECIMAL_DIVISION = re.compile(r"div cast\([^ ]+ as decimal|as decimal\(\d+,\d+\)\) div")
@@ -184,6 +185,19 @@ class Engine:
         self.counters["selects"] += 1
         return self._select(sql, args)
 
+    def prepare(self, sql: str) -> Callable:
+        """One statement with ``$1`` to ``$n``, to be run with values: ``prepare("SELECT $1 + 1 AS x")(41)``."""
+        if len(dialect.statements(sql)) != 1:
+            raise EngineError("42601", "one statement can be prepared")
+        wanted = dialect.parameters(sql)
+
+        def run(*values):
+            if len(values) != wanted:
+                raise EngineError("08P01", f"{wanted} values are needed, not {len(values)}")
+            return self.execute(sql, list(values))
+
+        return run
+
     def _run(self, sql: str, args):
         head = " ".join(dialect.words(sql)[:3]).upper()
         for pattern, method in self._table:
@@ -516,8 +530,9 @@ class Engine:
         sql, version = dialect.split_version(sql)
         sql, unique = dialect.split_not_duplicate(sql)
         sql, match = dialect.split_semantic(sql)
-        if self.current and version:
-            raise EngineError("0A000", "AT VERSION inside a transaction")
+        sql, args = dialect.numbered(dialect.session_words(sql, self.user), args)
+        if self.current and (version or match):
+            raise EngineError("0A000", "AT VERSION or SEMANTIC_MATCH inside a transaction")
         ts = self.store.resolve(version.value) if version else None
         if match and version and (version.mode or "").upper() not in ("SEMANTIC_FRESH", "SEMANTIC_SNAPSHOT"):
             raise EngineError("0A000", "a semantic query of the past names CONSISTENCY 'SEMANTIC_FRESH' or 'SEMANTIC_SNAPSHOT'")
@@ -563,8 +578,11 @@ class Engine:
         return "".join(ts)
 
     def _semantic(self, name: str, rows: DataFrame, match: dialect.SemanticMatch, sql: str) -> DataFrame:
-        """Rows at least as similar as the threshold. The residual filters of a single-table query are applied by the
-        query itself; the search is exact, so filtering before or after gives the same rows."""
+        """The candidates of a semantic query: the most similar rows at or above the threshold.
+
+        A query that groups, aggregates or joins sees the CANDIDATES best, or as many as its LIMIT; any other the best of those that meet its
+        own conditions, as many as its LIMIT or DEFAULT_K. The search is exact.
+        """
         self.counters["semantic"] += 1
         if self.embedder is None:
             raise EngineError("55000", "no embedder is set")
@@ -573,7 +591,12 @@ class Engine:
         if len(vector) != dim:
             raise EngineError("22000", f"the query vector has {len(vector)} values, the column {dim}")
         q = F.array(*[F.lit(x) for x in vector])
-        return rows.withColumn("similarity", vectors.cosine(F.col(f"{match.column}_embedding"), q)).where(F.col("similarity") >= match.threshold)
+        near = rows.withColumn("similarity", vectors.cosine(F.col(f"{match.column}_embedding"), q)).where(F.col("similarity") >= match.threshold)
+        limit, analytical = dialect.limit_of(sql), dialect.is_analytical(sql)
+        if not analytical:
+            near = self._narrowed(name, near, sql)
+        most = max(CANDIDATES, limit or 0) if analytical or limit else DEFAULT_K
+        return near.orderBy(F.desc("similarity"), *self.store.keys(name)).limit(most)
 
     def semantic_search(self, name: str, column: str, query: str, k: int = 10, threshold: float = 0.0, ttl_now: float | None = None) -> list[dict]:
         """The k best rows; answers come from the table's semantic cache while a query vector like it is fresh there."""
