@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -117,3 +118,35 @@ def hamming(a: Column | str, b: Column | str) -> Column:
         return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="Int32")
 
     return differ(a, b)
+
+
+def nearest_in_blocks(rows: DataFrame, asked: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """``(q, id_col, similarity)``: the k rows most similar to each asked row, itself apart; exact.
+
+    Rows and asked rows are dealt into blocks of about ``block``, each pair of blocks is one matrix product, and only its k best for each
+    asked row leave it. Null and zero vectors are no one's neighbour; ties go to the smaller id. Vectors have one length, ids are bigint.
+    """
+    give_blocks, ask_blocks = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // block))
+    part = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cols = lambda df, own: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), *own)
+    give = cols(rows, [part(give_blocks).alias("g"), every(ask_blocks).alias("a"), F.lit(False).alias("ask")])
+    ask = cols(asked, [every(give_blocks).alias("g"), part(ask_blocks).alias("a"), F.lit(True).alias("ask")])
+
+    def search(table: pa.Table) -> pa.Table:
+        asks, ids = table.column("ask").to_numpy(), table.column("id").to_numpy()
+        x = np.array(table.column("v").to_pylist(), dtype=np.float64)
+        size = np.linalg.norm(x, axis=1)
+        x = x / np.where(size > 0, size, np.nan)[:, None]
+        q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
+        r = r[np.argsort(ids[r], kind="stable")]
+        sims = x[q] @ x[r].T
+        sims[np.isnan(sims) | (ids[q][:, None] == ids[r][None, :])] = -np.inf
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(sims, best, axis=1)
+        at, c = np.nonzero(np.isfinite(found))
+        return pa.table({"q": ids[q][at], id_col: ids[r][best[at, c]], "similarity": found[at, c]})
+
+    pairs = give.union(ask).groupBy("g", "a").applyInArrow(search, f"q bigint, `{id_col}` bigint, similarity double")
+    first = Window.partitionBy("q").orderBy(F.desc("similarity"), id_col)
+    return pairs.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")

@@ -62,10 +62,9 @@ def vec_join(spark, sf):
 def vec_knn_join(spark, sf):
     """Every vector whose id divides by 50 against all rows, the three most similar others."""
     rows = load(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    pairs = rows.join(asked, F.col("vec_id") != F.col("q")).select("q", "vec_id", vectors.cosine(F.col("embedding"), F.col("v")).alias("s"))
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))
-    return pairs.withColumn("r", best).where("r <= 3").select("q", "vec_id", "r")
+    near = vectors.nearest_in_blocks(rows, rows.where("vec_id % 50 = 0"), 3)
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "vec_id"))
+    return near.select("q", "vec_id", best.alias("r"))
 
 
 def vec_sq8_roundtrip(spark, sf):

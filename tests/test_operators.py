@@ -59,3 +59,41 @@ def test_dialect():
     assert dialect.split_not_duplicate("SELECT * FROM t WHERE NOT DUPLICATE AND a = 1")[0].split() == "SELECT * FROM t WHERE a = 1".split()
     assert "LAST" in dialect.place_nulls("SELECT * FROM t ORDER BY a LIMIT 1") and "DESC NULLS FIRST" in dialect.place_nulls("SELECT a FROM t ORDER BY b DESC")
     assert dialect.place_nulls("SELECT a FROM t ORDER BY f(a, b), c DESC NULLS LAST") == "SELECT a FROM t ORDER BY f(a, b) NULLS LAST, c DESC NULLS LAST"
+
+
+def test_half_floats_and_hamming(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9, None)], "vec_id bigint, embedding array<float>")
+    back = {r.vec_id: r.restored for r in vectors.fp16_restored(vectors.fp16(rows)).collect()}
+    assert back[9] is None and all(np.allclose(back[i], x[i], rtol=2**-11, atol=1e-7) for i in range(6))
+    signs = x.astype(np.float64) @ vectors.rotation(16, 3).T > 0
+    codes = vectors.rabitq(rows, 16, 3)
+    pairs = codes.select("vec_id", "code").crossJoin(codes.where("vec_id = 0").select(F.col("code").alias("other")))
+    got = {r.vec_id: r.d for r in pairs.select("vec_id", vectors.hamming("code", "other").alias("d")).collect()}
+    assert got[9] is None and all(got[i] == (signs[i] != signs[0]).sum() for i in range(6))
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((90, 8)).astype(np.float32)
+    x[7] = x[3]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0] * 8), (901, None)], "vec_id bigint, embedding array<float>")
+    got = vectors.nearest_in_blocks(rows, rows.where("vec_id % 10 = 3"), 2, block=16).collect()
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for q in range(3, 90, 10):
+        sims = u @ u[q]
+        sims[q] = -9
+        assert {r.vec_id for r in got if r.q == q} == set(np.argsort(-sims, kind="stable")[:2].tolist())
+    assert len(got) == 18
+
+
+def test_core_groups(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} {i}") for i in range(5, 45)] + [(1, None), (2, ""), (3, "other words"), (4, "other words"), (50, "something else entirely, long enough")]
+    table = spark.createDataFrame(rows, "id bigint, text string")
+    want = {(5, i) for i in range(5, 45)} | {(3, 3), (3, 4)}
+    assert {tuple(r) for r in dedup.similar_groups(table, "id", "text").collect()} == want
+    assert {tuple(r) for r in dedup.similar_groups(table.orderBy(F.desc("id")).repartition(5), "id", "text").collect()} == want
+    assert {tuple(r) for r in dedup.equal_groups(table, "id", "text").collect()} == {(3, 3), (3, 4)}
+    assert dedup.similar_groups(table.limit(0), "id", "text").collect() == []
