@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tarnwork.runtime import Workspace, spread, width
 
 SAMPLE_ROWS, PROBES, FAN, SLACK = 262_144, 512, 32, 5e-5
-BLOCK, PART_BYTES = 8192, 8 << 20
+BLOCK, PART_BYTES, WALK, MET = 8192, 8 << 20, 2048, 1 << 22
 
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +94,9 @@ class Tree:
             made += k - 1
         self.centroid = np.array(self.centroid, dtype=np.float32)
         self.gain = self._gains(sample)
+        self.kids = np.full((len(self.children), FAN), -1, dtype=np.int32)
+        for node, kids in enumerate(self.children):
+            self.kids[node, : len(kids)] = kids
 
     def _gains(self, sample: np.ndarray) -> np.ndarray:
         """How much closer than a node's own centroid its best leaf is to the sample rows that pass the node, on average.
@@ -118,34 +121,47 @@ class Tree:
         return gain
 
     def visits(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The first n leaves of each vector, best bin first; -1 where the tree has fewer.
+        """The first n leaves of each vector, best bin first; -1 where the tree has fewer. WALK vectors walk at once, so memory doesn't grow with x."""
+        return np.concatenate([self._walk(x[i : i + WALK], n) for i in range(0, len(x), WALK)] or [np.zeros((0, n), dtype=np.int64)])
 
-        All vectors of the block walk at once. The queue of each holds the nodes it has opened the way to and nothing else, and the
-        bins a node opens are scored for every vector that opens it in one product.
+    def _walk(self, x: np.ndarray, n: int) -> np.ndarray:
+        """All vectors of the block walk at once. The queue of each holds the nodes it has opened the way to and nothing else; the bins of a
+        node that many vectors open are scored in one product.
         """
         m = len(x)
-        nodes, score, used = np.zeros((m, 4 * FAN), dtype=np.int32), np.full((m, 4 * FAN), -np.inf, dtype=np.float32), 1
+        nodes, score, used = np.zeros((m, 4 * FAN), dtype=np.int32), np.full((m, 4 * FAN), -np.inf, dtype=np.float32), FAN
+        opened = np.zeros(m, dtype=np.int64)
         score[:, 0] = 2.0
         out, got, live = np.full((m, n), -1, dtype=np.int64), np.zeros(m, dtype=np.int64), np.arange(m)
-        inner = np.array([len(c) > 0 for c in self.children])
         while len(live):
-            top = score[live, :used].argmax(axis=1)
+            top = (score[live, :used] if len(live) < m else score[:, :used]).argmax(axis=1)
             some = np.isfinite(score[live, top])
             live, top = live[some], top[some]
             node = nodes[live, top]
             score[live, top] = -np.inf
-            done = live[~inner[node]]
-            out[done, got[done]] = node[~inner[node]]
+            inner = self.kids[node, 0] >= 0
+            done = live[~inner]
+            out[done, got[done]] = node[~inner]
             got[done] += 1
-            wide, node = live[inner[node]], node[inner[node]]
+            wide, node = live[inner], node[inner]
             if len(wide):
-                if used + FAN > score.shape[1]:
+                opened[wide] += 1
+                if (used := max(used, (int(opened.max()) + 1) * FAN)) > score.shape[1]:
                     nodes, score = np.hstack([nodes, np.zeros_like(nodes)]), np.hstack([score, np.full_like(score, -np.inf)])
-                for one in np.unique(node):
-                    rows, kids = wide[node == one], self.children[one]
-                    nodes[rows, used : used + len(kids)] = kids
-                    score[rows, used : used + len(kids)] = x[rows] @ self.centroid[kids].T + self.gain[kids]
-                used += FAN
+                order = np.argsort(node, kind="stable")
+                wide, node = wide[order], node[order]
+                kids, sims = self.kids[node], np.empty((len(wide), FAN), dtype=np.float32)
+                starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                sizes = np.diff(np.r_[starts, len(node)])
+                for i, size in zip(starts[sizes >= 16], sizes[sizes >= 16]):
+                    sims[i : i + size] = x[wide[i : i + size]] @ self.centroid[kids[i]].T
+                few = np.flatnonzero(np.repeat(sizes < 16, sizes))
+                for i in range(0, len(few), 256):
+                    rows = few[i : i + 256]
+                    sims[rows] = (self.centroid[kids[rows]] @ x[wide[rows], :, None])[:, :, 0]
+                at = opened[wide, None] * FAN + np.arange(FAN)
+                nodes[wide[:, None], at] = kids
+                score[wide[:, None], at] = np.where(kids >= 0, sims + self.gain[kids], -np.inf)
             live = live[got[live] < n]
         return out
 
@@ -192,18 +208,30 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     wanted = min(total, SAMPLE_ROWS, max(16_384, 16 * leaves))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     cut = int(min(1.0, wanted / max(1, total)) * (1 << 30)) if total > wanted + 4 * PROBES else 1 << 30
-    matrix = lambda got: np.frombuffer(b"".join(r.v for r in got), dtype=np.float32).reshape(-1, dim)
-    sample = matrix(rows.where(place < cut).select("v").limit(2 * SAMPLE_ROWS).collect())
+    matrix = lambda got: np.frombuffer(b"".join(got), dtype=np.float32).reshape(-1, dim)
+    drawn = rows.where(place < cut).select("v")
+    sample = np.concatenate([matrix(c.to_pylist()) for c in drawn.toArrow().column("v").chunks] or [matrix([])])
     if not len(sample):
         return spark.createDataFrame([], "a bigint, b bigint, similarity double")
-    tree = Tree(sample, int(min(leaves, max(1, len(sample) // 8))))
+    size, tree = len(sample), Tree(sample, int(min(leaves, max(1, len(sample) // 8))))
+    del sample
     shared = spark.sparkContext.broadcast(tree)
     held = rows.where(place >= cut) if cut < 1 << 30 else rows
     probes = held.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(PROBES).select("id", "v").collect()
-    visits = calibrate(rows, shared, np.array([r.id for r in probes], dtype=np.int64), matrix(probes), k, floor, recall, visits_from)
+    visits = calibrate(rows, shared, np.array([r.id for r in probes], dtype=np.int64), matrix([r.v for r in probes]), k, floor, recall, visits_from)
 
     # leaves expected to hold more than BLOCK rows are dealt into blocks; every pair of blocks meets in a group of its own
-    load = np.bincount(tree.visits(sample, visits).ravel() + 1, minlength=len(tree.children) + 1)[1:] * (total / len(sample))
+    def loads(batches):
+        load = np.zeros(len(shared.value.children), dtype=np.int64)
+        for batch in batches:
+            bins = shared.value.visits(matrix(batch.column(0).to_pylist()), visits)
+            load += np.bincount(bins[bins >= 0], minlength=len(load))
+        met = np.flatnonzero(load)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(load[met])], ["leaf", "n"])
+
+    load = np.zeros(len(tree.children))
+    for leaf, n in drawn.mapInArrow(loads, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n")).collect():
+        load[leaf] = n * (total / size)
     blocks = np.maximum(1, np.ceil(load / BLOCK)).astype(np.int64)
 
     def route(batches):
@@ -214,8 +242,8 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
             x = np.frombuffer(b"".join(blob), dtype=np.float32).reshape(-1, dim)
             ids = batch.column(0).to_numpy()
             small = [r.tobytes() for r in packed(x)]
-            for i in range(0, len(x), 2048):
-                bins = shared.value.visits(x[i : i + 2048], visits)
+            for i in range(0, len(x), WALK):
+                bins = shared.value.visits(x[i : i + WALK], visits)
                 r, c = np.nonzero(bins >= 0)
                 leaf, r = bins[r, c], i + r
                 many = blocks[leaf]
@@ -325,11 +353,23 @@ def calibrate(rows: DataFrame, shared, ids: np.ndarray, probes: np.ndarray, k: i
         return least
     tree, leaves = shared.value, sum(not len(c) for c in shared.value.children)
     theirs_ = np.frombuffer(b"".join(r[1] for r in got), dtype=np.float32).reshape(-1, dim)
+    at = np.array([r[0] for r in got])
     most, n = max(8, least), least
     while True:
-        mine, theirs = tree.visits(probes[[r[0] for r in got]], most), tree.visits(theirs_, most)
+        step = max(1, MET // most)
+        meets = np.concatenate([first_met(tree.visits(probes[at[i : i + step]], most), tree.visits(theirs_[i : i + step], most)) for i in range(0, len(at), step)])
         for n in range(n, most + 1):
-            met = np.mean([bool(np.intersect1d(a[:n][a[:n] >= 0], b[:n]).size) for a, b in zip(mine, theirs)])
+            met = np.mean(meets <= n)
             if met - sure * np.sqrt(met * (1 - met) / len(got)) >= recall or n >= leaves:
                 return n
         most = min(2 * most, max(leaves, 2))
+
+
+def first_met(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """After how many visits the two vectors of each row share a leaf; infinite where they never do."""
+    found = np.full(len(mine), np.inf)
+    for i, (a, b) in enumerate(zip(mine, theirs)):
+        _, p, q = np.intersect1d(a[a >= 0], b[b >= 0], assume_unique=True, return_indices=True)
+        if len(p):
+            found[i] = np.maximum(p, q).min() + 1
+    return found

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +193,21 @@ def test_nearest_vectors(spark):
         assert sum(a in p for p in got) >= 5
 
 
+def test_walks_and_calibration_hold_little():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((40_000, 8)).astype(np.float32)
+    tree = knn_tree.Tree(x[:8000], 1000)
+    peaks = []
+    for rows in (2048, 40_000):
+        tracemalloc.start()
+        bins = tree.visits(x[:rows], 6)
+        peaks.append(tracemalloc.get_traced_memory()[1] - bins.nbytes)
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] and (bins >= 0).all() and all(len(set(r)) == 6 for r in bins[:500].tolist())
+    assert (tree.visits(x[:50], 2000) >= 0).sum() == 50 * 1000
+    assert knn_tree.first_met(np.array([[5, 7, 9], [1, 2, -1]]), np.array([[9, 5, 1], [3, 4, -1]])).tolist() == [2, np.inf]
+
+
 def test_no_vectors(spark):
     assert knn_tree.nearest(spark.createDataFrame([(1, None)], "pk bigint, embedding array<float>")).collect() == []
 
