@@ -437,12 +437,28 @@ def object_end(lines: list[str], i: int) -> int:
     return j + (j < len(lines) and bool(OBJECT_CLOSE.fullmatch(lines[j])))
 
 
-def object_fields(lines: list[str], i: int, types: dict[str, str]):
+def names(line: str) -> list[str]:
+    """What may be a key on a line of an object over several lines, wherever a string is taken to begin."""
+    out, at = {}, line.find('"') if line[:1].isspace() else -1
+    while at >= 0:
+        if (m := STRING.match(line, at)) and line[m.end():].lstrip()[:1] in ("", ":"):
+            try:
+                out[json.loads(m[0], strict=False)] = None
+            except ValueError:
+                pass
+        at = line.find('"', at + 1)
+    return list(out)
+
+
+def object_fields(lines: list[str], i: int, types: dict[str, str] | None, known: list):
     """(end, (ts_us, level, component, message)) of the entry whose object opens at line i; None where it's none.
 
-    ``types`` are the frequent keys' types; a key without stands for what its own value looks like.
+    ``types`` are the frequent keys' types, or None where each line has those of its own keys in ``known``; a key without stands
+    for what its own value looks like.
     """
     end = object_end(lines, i)
+    if types is None:
+        types = {k: t for pairs in known[i:end] for k, t in pairs or ()}
     fields = scan_object("\n".join(lines[i:end]))
     if len(fields) < 3:
         return None
@@ -497,11 +513,12 @@ def parse_logs(logs: DataFrame, least: int = 3) -> DataFrame:
     read = heads.union(lines.where("head is null").select("log_stream", "line_no", "message", *none, opens.alias("opens")))
     read = ws.save(read.withColumn("piece", F.floor(F.col("line_no") / CHUNK)), "read")
     frequent = _frequent(types)
+    read = read.withColumn("known", F.lit(None).cast("map<string,string>")) if frequent is not None else _known(read, types, ws)
 
     def starts(key, table):
-        rows = sorted(zip(table.column("line_no").to_pylist(), table.column("message").to_pylist()))
-        nos, texts = [r[0] for r in rows], [r[1] for r in rows]
-        first = next((nos[i] for i, t in enumerate(texts) if OBJECT_OPEN.fullmatch(t) and (got := object_fields(texts, i, frequent)) and got[0] < len(texts)), None)
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("line_no", "message", "known"))), key=lambda r: r[:2])
+        nos, texts, known = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+        first = next((nos[i] for i, t in enumerate(texts) if OBJECT_OPEN.fullmatch(t) and (got := object_fields(texts, i, frequent, known)) and got[0] < len(texts)), None)
         return pa.table({"log_stream": [key[0].as_py()], "piece": [nos[0] // CHUNK if first is None else first // CHUNK], "start": pa.array([first], pa.int64())})
 
     pieces = read.groupBy("log_stream", "piece").agg(F.min(F.when(F.col("ts_us").isNotNull(), F.col("line_no"))).alias("start"), F.bool_or("opens").alias("opens"))
@@ -509,7 +526,7 @@ def parse_logs(logs: DataFrame, least: int = 3) -> DataFrame:
     bare_pieces = pieces.where("start is null")
     if bare_pieces.where("opens").limit(1).count():
         headless = read.join(bare_pieces.select("log_stream", "piece"), ["log_stream", "piece"], "left_semi")
-        wide = headless.select("log_stream", "line_no", "message", F.floor(F.col("piece") / SPAN).alias("wide")).dropDuplicates(["log_stream", "line_no"])
+        wide = headless.select("log_stream", "line_no", "message", "known", F.floor(F.col("piece") / SPAN).alias("wide")).dropDuplicates(["log_stream", "line_no"])
         more = wide.repartition(width(logs.sparkSession), "log_stream", "wide").groupBy("log_stream", "wide").applyInArrow(starts, "log_stream string, piece bigint, start bigint")
         more = more.where("start is not null").withColumnRenamed("start", "more")
         pieces = ws.save(pieces.join(more, ["log_stream", "piece"], "left").select("log_stream", "piece", F.coalesce("start", "more").alias("start")), "pieces")
@@ -519,15 +536,15 @@ def parse_logs(logs: DataFrame, least: int = 3) -> DataFrame:
 
     def assemble(key, table):
         stream, rows = key[0].as_py(), {}
-        for row in zip(*(table.column(c).to_pylist() for c in ("line_no", "message", "ts_us", "log_level", "component", "text"))):
+        for row in zip(*(table.column(c).to_pylist() for c in ("line_no", "message", "ts_us", "log_level", "component", "text", "known"))):
             if row[0] not in rows or row[1] < rows[row[0]][1]:
                 rows[row[0]] = row
         ordered = [rows[k] for k in sorted(rows)]
-        texts, out, i = [r[1] for r in ordered], [], 0
+        texts, known, out, i = [r[1] for r in ordered], [r[6] for r in ordered], [], 0
         while i < len(ordered):
-            no, text, *found = ordered[i]
+            no, text, *found = ordered[i][:6]
             end = i + 1
-            if OBJECT_OPEN.fullmatch(text) and (got := object_fields(texts, i, frequent)):
+            if OBJECT_OPEN.fullmatch(text) and (got := object_fields(texts, i, frequent, known)):
                 end, found = got
             if found[0] is not None:
                 out.append([stream, no, ordered[end - 1][0], *found[:3], [found[3]]])
@@ -538,10 +555,26 @@ def parse_logs(logs: DataFrame, least: int = 3) -> DataFrame:
         cols = list(zip(*([*r[:6], "\n".join(r[6])] for r in out))) if out else [[]] * len(RECORD)
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, RECORD)], schema=RECORD)
 
-    homed = homed.select("log_stream", "home", "line_no", "message", "ts_us", "log_level", "component", "text")
+    homed = homed.select("log_stream", "home", "line_no", "message", "ts_us", "log_level", "component", "text", "known")
     return homed.repartition(width(logs.sparkSession), "log_stream", "home").groupBy("log_stream", "home").applyInArrow(assemble, FIELDS)
 
 
-def _frequent(types: DataFrame, most: int = 20_000) -> dict[str, str]:
-    """Types of keys for objects over several lines, ``most`` at most: keys beyond are judged by their own values."""
-    return {r.key: r.kind for r in types.orderBy("key").limit(most).collect()}
+def _frequent(types: DataFrame, most: int = 20_000) -> dict[str, str] | None:
+    """Types of keys for objects over several lines; None where there are more than ``most``: lines then take theirs by join."""
+    found = types.where(F.startswith("key", F.lit("~"))).limit(most + 1).collect()
+    return {r.key: r.kind for r in found} if len(found) <= most else None
+
+
+def _known(read: DataFrame, types: DataFrame, ws: Workspace) -> DataFrame:
+    """Lines with the types of the keys that they may hold."""
+    line = ["log_stream", "line_no", "message"]
+
+    def held(batches):
+        for batch in batches:
+            found = [names(m) for m in batch.column(2).to_pylist()]
+            at = pa.array([i for i, keys in enumerate(found) for _ in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(["~" + k for keys in found for k in keys], pa.string())], [*line, "key"])
+
+    pairs = read.select(*line).mapInArrow(held, "log_stream string, line_no bigint, message string, key string").join(types, "key")
+    known = pairs.groupBy(*line).agg(F.map_from_entries(F.collect_set(F.struct("key", "kind"))).alias("known"))
+    return ws.save(read.join(known, line, "left"), "known")

@@ -74,6 +74,18 @@ def test_streams_of_objects_only(spark, monkeypatch):
     assert [(a, b, m) for a, b, *_, m in got] == [(7 * i + 1, 7 * i + 7, f"o{i}\nx") for i in range(40)]
 
 
+@pytest.mark.parametrize("filler", [[json.dumps({f"k{100 * j + i}": 1 for i in range(100)}) for j in range(201)], ["{", *[f'  "k{i}": 1,' for i in range(20_001)], "}"]])
+def test_types_of_any_number_of_keys(spark, filler):
+    thing = lambda name: ["{", f'  "ts": {T0 // 1000},', '  "severity": "info",', f'  "logger": "{name}",', '  "msg": "m"', "}"]
+    got = parse(spark, [*thing("a"), *thing("b"), *thing("c"), *filler, *thing("10")])
+    assert [r[4] for r in got] == ["a", "b", "c", "10"] and [r[5] for r in got][-1] == "m"
+
+
+def test_keys_of_a_line():
+    assert {"aA", "c", "d"} <= set(logparse.names('  "a\\u0041": "b", "c" : 1, "d"'))
+    assert logparse.names('"a": 1') == [] and logparse.names("") == []
+
+
 def test_the_dictionary_decides(spark, monkeypatch):
     lines = [f"2026-03-03T11:17:{i:02d}Z  INFO db: m" for i in range(9)] + ["2026-03-03 11:17:42,000 [once] ERROR: seen once"]
     rows = spark.createDataFrame([("s", i, m, "") for i, m in enumerate(lines)], SCHEMA)
