@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tarnwork.runtime import Workspace, spread, width
 
 SAMPLE_ROWS, PROBES, FAN, SLACK = 262_144, 512, 32, 5e-5
-BLOCK, PART_BYTES, WALK, MET = 8192, 8 << 20, 2048, 1 << 22
+BLOCK, GROUP, PART_BYTES, WALK, MET = 8192, 65_536, 8 << 20, 2048, 1 << 22
 
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,6 +233,7 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     for leaf, n in drawn.mapInArrow(loads, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n")).collect():
         load[leaf] = n * (total / size)
     blocks = np.maximum(1, np.ceil(load / BLOCK)).astype(np.int64)
+    group = grouped(tree.children, load, blocks)
 
     def route(batches):
         for batch in batches:
@@ -251,16 +252,34 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
                 other = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 leaf, r, mine = (np.repeat(z, many) for z in (leaf, r, mine))
                 pair = np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other)
-                cols = [leaf.astype(np.int32), pair, (mine > other).astype(np.int8), ids[r]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([small[j] for j in r.tolist()], pa.binary())], ["leaf", "pair", "side", "id", "v"])
+                # one row for each vector and group, with the leaves of the group that it visits
+                order = np.lexsort((leaf, pair, group[leaf], r))
+                leaf, r, pair, side = leaf[order], r[order], pair[order], (mine > other)[order]
+                new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (group[leaf[1:]] != group[leaf[:-1]]) | (pair[1:] != pair[:-1])])
+                held = pa.ListArray.from_arrays(pa.array(np.r_[new, len(r)].astype(np.int32)), pa.array(leaf.astype(np.int32)))
+                cols = [group[leaf[new]].astype(np.int32), pair[new], side[new].astype(np.int8), ids[r[new]]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), held, pa.array([small[j] for j in r[new].tolist()], pa.binary())], ["bin", "pair", "side", "id", "leaves", "v"])
 
     def search(table):
-        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        every, sides = table.column("id").to_numpy(), table.column("side").to_numpy()
+        vectors = unpacked(b"".join(table.column("v").to_pylist()), dim)
+        lists = table.column("leaves").combine_chunks()
+        leaf, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(every)), lists.value_lengths().to_numpy())
+        order = np.argsort(leaf, kind="stable")
+        cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+        pair = table.column("pair")[0].as_py()
+        found = [search_leaf(every[rows], sides[rows], vectors[rows], pair) for rows in np.split(row[order], cuts)]
+        a, b, s = (np.concatenate(z) for z in zip(*found))
+        best = np.lexsort((-s, b, a))  # a pair that meets in several leaves leaves once
+        a, b, s = a[best], b[best], s[best]
+        once = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        return pa.table({"a": a[once], "b": b[once], "similarity": s[once]})
+
+    def search_leaf(ids, side, x, pair):
         order = np.lexsort((ids, side))
-        ids, n, cut = ids[order], len(ids), int((side == 0).sum())
-        x = unpacked(b"".join(table.column("v").to_pylist()), dim)[order]
+        ids, n, cut, x = ids[order], len(ids), int((side == 0).sum()), x[order]
         a, b, s = [], [], []
-        low_block, high_block = divmod(table.column("pair")[0].as_py(), 1 << 20)
+        low_block, high_block = divmod(pair, 1 << 20)
         turns = [(0, n, 0, n)] if low_block == high_block else [(0, cut, cut, n), (cut, n, 0, cut)]
         for low, high, first, last_ in turns:
             for i in range(low, high, 1024):
@@ -277,11 +296,11 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
                 b.append(ids[first + c[near]])
                 s.append(sims[r[near], c[near]].astype(np.float64))
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": np.concatenate(s) if s else np.zeros(0)})
+        return np.minimum(a, b), np.maximum(a, b), np.concatenate(s) if s else np.zeros(0)
 
-    routed = main.mapInArrow(route, "leaf int, pair bigint, side byte, id bigint, v binary")
+    routed = main.mapInArrow(route, "bin int, pair bigint, side byte, id bigint, leaves array<int>, v binary")
     parts = max(width(spark), -(-total * visits * (2 * dim + 32) // PART_BYTES))
-    found = routed.repartition(parts, "leaf", "pair").groupBy("leaf", "pair").applyInArrow(search, "a bigint, b bigint, similarity double")
+    found = routed.repartition(parts, "bin", "pair").groupBy("bin", "pair").applyInArrow(search, "a bigint, b bigint, similarity double")
     found = ws.save(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "found")
 
     def exact(batches):
@@ -322,6 +341,20 @@ def nearest(docs: DataFrame, id_col: str = "pk", vector_col: str = "embedding",
     return out
 
 
+def grouped(children: list[np.ndarray], load: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """A group for each leaf: neighbours in the tree share one up to GROUP routed rows, so that a vector travels once to several leaves. Leaves in blocks stay alone."""
+    group, last, size, stack = np.zeros(len(children), dtype=np.int64), 0, 0.0, [0]
+    while stack:
+        node = stack.pop()
+        if len(children[node]):
+            stack.extend(children[node][::-1].tolist())
+            continue
+        if size and (size + load[node] > GROUP or blocks[node] > 1):
+            last, size = last + 1, 0.0
+        group[node], size = last, size + max(1.0, load[node]) if blocks[node] == 1 else GROUP + 1.0
+    return group
+
+
 def calibrate(rows: DataFrame, shared, ids: np.ndarray, probes: np.ndarray, k: int, floor: float, recall: float, least: int, sure: float = 1.64) -> int:
     """The fewest leaf visits, ``least`` or more, whose recall on the probes is above ``recall`` even at its lower confidence bound; all leaves if need be.
 

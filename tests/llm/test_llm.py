@@ -208,6 +208,13 @@ def test_walks_and_calibration_hold_little():
     assert knn_tree.first_met(np.array([[5, 7, 9], [1, 2, -1]]), np.array([[9, 5, 1], [3, 4, -1]])).tolist() == [2, np.inf]
 
 
+def test_neighbouring_leaves_share_a_group():
+    children = [np.arange(1, 4), np.arange(4, 6), np.arange(0), np.arange(6, 8), *[np.arange(0)] * 4]
+    leaves, load = [4, 5, 2, 6, 7], np.array([0, 0, 9e9, 0, 30_000, 30_000, 30_000, 40_000])
+    group = knn_tree.grouped(children, load, np.where(load > 1e9, 9, 1))[leaves].tolist()
+    assert group == [0, 0, 1, 2, 3]
+
+
 def test_no_vectors(spark):
     assert knn_tree.nearest(spark.createDataFrame([(1, None)], "pk bigint, embedding array<float>")).collect() == []
 
