@@ -97,3 +97,27 @@ def test_core_groups(spark):
     assert {tuple(r) for r in dedup.similar_groups(table.orderBy(F.desc("id")).repartition(5), "id", "text").collect()} == want
     assert {tuple(r) for r in dedup.equal_groups(table, "id", "text").collect()} == {(3, 3), (3, 4)}
     assert dedup.similar_groups(table.limit(0), "id", "text").collect() == []
+
+
+def test_batch_signatures():
+    texts = ["a", "ab", "abc", "abcabc", "Größe 日本語 \U0001f600\U0001f601 x", "z" * 9000 + "end", " ".join(str(i * i) for i in range(4000)), "\0\0\0"]
+    assert dedup.signatures(texts).tolist() == [dedup.signature(t) for t in texts] and dedup.signatures([]).shape == (0, 128)
+
+
+def test_core_groups_of_texts_that_share_parts(spark):
+    """Texts put together from the same sentences meet in many buckets; the groups are those of all pairs, and little is written for them."""
+    rng = np.random.default_rng(3)
+    parts = [" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5)) for _ in range(24)]
+    texts = [" ".join(parts[k] for k in rng.choice(24, 9, replace=False)) for _ in range(900)]
+    texts += [t[: 8 * k] + t[8 * k + 4 :] for k, t in enumerate(texts[:30])] + [texts[40] + " " + "".join(rng.choice(list("klmno"), 3)) for _ in range(30)] + texts[:5]
+    sig = dedup.signatures(texts)
+    owner = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in np.flatnonzero((sig[:i] == sig[i]).mean(axis=1) >= 0.8):
+            low, high = sorted((owner[i], owner[j]))
+            owner = [low if o == high else o for o in owner]
+    want = {(owner[i], i) for i in range(len(texts)) if owner.count(owner[i]) > 1}
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert {tuple(r) for r in dedup.similar_groups(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").collect()} == want
+    assert written() - before < 2_000_000
