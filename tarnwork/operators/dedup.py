@@ -85,8 +85,41 @@ def equal_groups(rows: DataFrame, key_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(key_col).alias("key"), F.sha2(text_col, 256).alias("d")).join(sized.where("n > 1"), "d").select("group_id", "key")
 
 
-#: Characters hashed at once, and in one piece of a text.
-CHARS, PIECE = 131_072, 4096
+#: Characters hashed at once, and in one piece of a text; trigrams whose hashes a process keeps.
+CHARS, PIECE, KEPT = 131_072, 4096, 32_768
+
+
+class Trigrams:
+    """Hashes of trigrams, each given as three code points of 21 bits; those met first are kept."""
+
+    def __init__(self):
+        self.grams, self.rows, self.kept = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty((0, SLOTS), dtype=np.uint64)
+
+    def hashes(self, grams: np.ndarray) -> np.ndarray:
+        """A row of 128 for each of the sorted distinct trigrams."""
+        out, there = np.empty((len(grams), SLOTS), dtype=np.uint64), np.isin(grams, self.grams, assume_unique=True)
+        out[there] = self.kept[self.rows[np.searchsorted(self.grams, grams[there])]]
+        new = grams[~there]
+        out[~there] = fresh = self._fresh(new)
+        if room := min(KEPT - len(self.kept), len(new)):
+            every = np.concatenate([self.grams, new[:room]])
+            order = np.argsort(every)
+            self.rows = np.concatenate([self.rows, np.arange(len(self.kept), len(self.kept) + room)])[order]
+            self.grams, self.kept = every[order], np.concatenate([self.kept, fresh[:room]])
+        return out
+
+    @staticmethod
+    def _fresh(grams: np.ndarray) -> np.ndarray:
+        mask, out = np.uint64((1 << 21) - 1), np.empty((len(grams), SLOTS), dtype=np.uint64)
+        spelt = np.stack([grams & mask, grams >> np.uint64(21) & mask, grams >> np.uint64(42)], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        x = np.array([xxhash.xxh3_64_intdigest(spelt[i : i + 3].encode("utf-8", "surrogatepass")) % PRIME for i in range(0, len(spelt), 3)], dtype=np.uint64)
+        for i in range(0, len(x), 1024):
+            h = times_mod(COEFFICIENTS[0][None, :], x[i : i + 1024, None]) + COEFFICIENTS[1][None, :]
+            out[i : i + 1024] = np.where(h >= PRIME, h - np.uint64(PRIME), h)
+        return out
+
+
+KNOWN = Trigrams()
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -97,7 +130,7 @@ def signatures(texts: list[str]) -> np.ndarray:
             pieces.append(text[at : at + PIECE + 2].ljust(3, "\0"))
             owner.append(i)
     best = np.full((len(texts), SLOTS), PRIME, dtype=np.uint64)
-    mask, first = np.uint64((1 << 21) - 1), 0
+    first = 0
     while first < len(pieces):
         last, size = first, 0
         while last < len(pieces) and (last == first or size + len(pieces[last]) <= CHARS):
@@ -105,12 +138,7 @@ def signatures(texts: list[str]) -> np.ndarray:
             last += 1
         points = np.frombuffer("".join(pieces[first:last]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         grams, which = np.unique(points[:-2] | points[1:-1] << np.uint64(21) | points[2:] << np.uint64(42), return_inverse=True)
-        spelt = np.stack([grams & mask, grams >> np.uint64(21) & mask, grams >> np.uint64(42)], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        x = np.array([xxhash.xxh3_64_intdigest(spelt[i : i + 3].encode("utf-8", "surrogatepass")) % PRIME for i in range(0, len(spelt), 3)], dtype=np.uint64)
-        hashed = np.empty((len(x), SLOTS), dtype=np.uint64)
-        for i in range(0, len(x), 1024):
-            h = times_mod(COEFFICIENTS[0][None, :], x[i : i + 1024, None]) + COEFFICIENTS[1][None, :]
-            hashed[i : i + 1024] = np.where(h >= PRIME, h - np.uint64(PRIME), h)
+        hashed = KNOWN.hashes(grams)
         at = 0
         for k in range(first, last):
             np.minimum(best[owner[k]], hashed[which[at : at + len(pieces[k]) - 2]].min(axis=0), out=best[owner[k]])
@@ -170,7 +198,7 @@ def _similar_groups(rows: DataFrame, key_col: str, text_col: str, threshold: flo
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs whose signatures agree, read in rounds of parts; a pair leaves once too many slots differ."""
         left = ws.save(pairs.where("a < b").distinct().withColumn("differ", F.lit(0)), "pairs")
-        for r in rounds:
+        for r in rounds if left.limit(1).count() else ():
             names = [slots[i][0] for i in r]
             side = lambda n: signed.select(F.col("id").alias(n), *[F.col(x).alias(f"{x}_{n}") for x in names])  # noqa: E731, B023
             off = sum((F.size(F.filter(F.zip_with(f"{x}_a", f"{x}_b", lambda x, y: x != y), lambda e: e)) for x in names), F.col("differ"))
